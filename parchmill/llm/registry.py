@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from parchmill.llm import bpe, packing
+from parchmill.llm import bpe, packing, quality
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op8_bpe": bpe.op8_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality.OP2_SQL,
+}
