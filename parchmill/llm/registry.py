@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from parchmill.llm import bpe, packing, quality
+from parchmill.llm import bpe, packing, quality, urls, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op5_url_filters": urls.op5_url_filters,
     "op8_bpe": bpe.op8_bpe,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.OP2_SQL,
+    "op5_url_filters": urls.OP5_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
