@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from parchmill.llm import bpe, packing, quality, urls, warc
+from parchmill.llm import bpe, html, packing, quality, urls, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_quality_rules": quality.op2_quality_rules,
     "op5_url_filters": urls.op5_url_filters,
     "op8_bpe": bpe.op8_bpe,
+    "op9_html_extraction": html.op9_html_extraction,
     "op10_warc": warc.op10_warc,
 }
 
