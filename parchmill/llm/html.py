@@ -136,7 +136,10 @@ class Blocks(HTMLParser):
 
 
 def container_of(path: tuple[str, ...]) -> tuple[str, ...]:
-    """A path up to its innermost container."""
+    """A path up to its innermost element named for content, else up to its innermost container."""
+    for k in range(len(path), 0, -1):
+        if path[k - 1].split(".")[0] in CONTENT_WEIGHT:
+            return path[:k]
     for k in range(len(path), 0, -1):
         if path[k - 1].split(".")[0] in CONTAINERS:
             return path[:k]
@@ -167,6 +170,9 @@ def main_text(html: str | None) -> str:
     """The content blocks in page order, joined by newlines."""
     if not html:
         return ""
+    cut = html.rfind("<")
+    if cut > html.rfind(">") and html[cut + 1 : cut + 2].isalpha() | (html[cut + 1 : cut + 2] in ("/", "!")):
+        html = html[:cut]  # a tag that the page's end cuts off
     parser = Blocks()
     parser.feed(html)
     parser.close()
