@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from parchmill.llm import bpe, html, packing, quality, urls, warc
+from parchmill.llm import bpe, embeddings, html, packing, quality, urls, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_quality_rules": quality.op2_quality_rules,
     "op5_url_filters": urls.op5_url_filters,
+    "op7_embedding_near_dedup": embeddings.op7_embedding_near_dedup,
     "op8_bpe": bpe.op8_bpe,
     "op9_html_extraction": html.op9_html_extraction,
     "op10_warc": warc.op10_warc,
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.OP2_SQL,
     "op5_url_filters": urls.OP5_SQL,
+    "op7_embedding_near_dedup": embeddings.OP7_SQL,
     "op10_warc": warc.OP10_SQL,
 }
