@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from parchmill.llm import bpe, embeddings, html, packing, quality, urls, warc
+from parchmill.llm import bpe, embeddings, html, ngram_join, packing, quality, urls, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op5_url_filters": urls.op5_url_filters,
     "op7_embedding_near_dedup": embeddings.op7_embedding_near_dedup,
     "op8_bpe": bpe.op8_bpe,
