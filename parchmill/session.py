@@ -51,7 +51,7 @@ def settled(df: DataFrame, what: str = "step") -> DataFrame:
     a reread and never a recomputation, and later steps see the same rows each time they look."""
     spark = df.sparkSession
     path = scratch_path(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
