@@ -22,9 +22,9 @@ from pyspark.sql import types as T
 
 from parchmill.session import read_table, shuffle_width
 
-#: Keys sampled for each range when the ranges are laid out; the least hashes are the sample, so it is repeatable.
+#: Keys sampled for each range when the ranges are laid out, by a hash, so the sample is repeatable.
 SAMPLE_PER_RANGE = 20
-RANGES_PER_PARTITION = 8
+RANGES_PER_PARTITION, MAX_RANGES = 8, 1 << 14
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST = "\U0010ffff"
 
@@ -45,10 +45,12 @@ def reversed_host(host: str = "host"):
 def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """key, host, path, rule, verdict of every row. `rules` has rule ("host/path") and verdict; of those that fit the longest wins."""
     width = shuffle_width(pages.sparkSession)
-    ranges = RANGES_PER_PARTITION * width
+    ranges = min(RANGES_PER_PARTITION * width, MAX_RANGES)
     urls = pages.select(F.col(key).alias("_id"), *url_parts(url)).withColumn("_key", F.concat(reversed_host(), F.lit(" "), "path"))
-    sample = urls.select("_key", F.xxhash64("_id", "_key").alias("_h")).orderBy("_h").limit(SAMPLE_PER_RANGE * ranges)
-    keys = sorted(r["_key"] for r in sample.select("_key").collect())  # bounded by the number of ranges
+    wanted = SAMPLE_PER_RANGE * ranges
+    share = max(1, pages.count() // wanted)
+    sample = urls.where(F.pmod(F.xxhash64("_id", "_key"), F.lit(share)) == 0).select("_key").limit(2 * wanted)
+    keys = sorted(r["_key"] for r in sample.collect())  # bounded by the number of ranges
     bounds = [keys[len(keys) * k // ranges] for k in range(1, ranges)] if keys else []
 
     @F.pandas_udf("array<int>")
