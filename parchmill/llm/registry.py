@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from parchmill.llm import bpe, embeddings, html, ngram_join, packing, quality, urls, warc
+from parchmill.llm import bpe, embeddings, html, ngram_join, packing, pii, quality, urls, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op5_url_filters": urls.op5_url_filters,
+    "op6_pii": pii.op6_pii,
     "op7_embedding_near_dedup": embeddings.op7_embedding_near_dedup,
     "op8_bpe": bpe.op8_bpe,
     "op9_html_extraction": html.op9_html_extraction,
