@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from parchmill.plans import corpus_queries, text_queries
+
+PARTS = (text_queries, corpus_queries)
+
+QUERIES: dict = {k: f for p in PARTS for k, f in p.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: s for p in PARTS for k, s in p.SQL.items()}
