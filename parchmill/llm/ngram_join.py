@@ -7,8 +7,8 @@ signature is left: the sum over classes of max(0, tokens - k + 1) must exceed th
 and the classes only need to be the same for all documents, so frequencies may be estimates; the links are exact.
 
 Equal sets are one class from the start. Signature buckets first link their members to a leader, then only members
-of different components are compared, so a group of near copies never turns into all its pairs. Verification
-compares whole shingle sets.
+of different components are compared, so a group of near copies never turns into all its pairs. A pair is dropped
+when its prefixes have too little in common for the threshold; verification compares whole shingle sets.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; rows without an id link
 with nothing and have no component; repeated rows are copies; ties go to the least id; other columns are ignored.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from parchmill.llm.shingles import overlap, shingle_set
 from parchmill.operators.graph import connected_components
-from parchmill.session import read_table, settled
+from parchmill.session import discard, read_table, settled
 
 #: Shingles counted together before rare ones are left out, and the least count that stays.
 COUNT_AT_ONCE, LOCAL_COUNT = 2_000_000, 3
@@ -35,7 +35,10 @@ COUNT_AT_ONCE, LOCAL_COUNT = 2_000_000, 3
 FREQUENT, FREQUENT_TOKENS = 48, 1 << 18
 #: Tokens of a document for each class of frequent tokens, about.
 TOKENS_PER_CLASS = 32
-ROUNDS = 3
+#: Rounds of leaders at most, and comparisons a document that are little enough to make them all at once.
+ROUNDS, WORK_PER_DOCUMENT = 6, 100
+#: Ids that may be broadcast, eight bytes each.
+BROADCAST_IDS = 1 << 20
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -72,8 +75,9 @@ def frequent_tokens(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(found.combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64)) if len(found) else np.zeros(0, dtype=np.uint64)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The signatures of a sorted token set: rare tokens as they are, pairs of frequent ones as mixed hashes."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, bool]:
+    """The signatures of a sorted token set: rare tokens as they are, pairs of frequent ones as mixed hashes. And whether
+    they are all single tokens, so that they are the set's prefix itself."""
     n = len(tokens)
     missing = n - -(-percent * n // 100)
     common = np.zeros(n, dtype=bool)
@@ -84,7 +88,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
     rare = tokens[~common][: missing + 1]
     need = missing + 1 - len(rare)
     if need <= 0:
-        return rare
+        return rare, True
     out, often = [rare], tokens[common]
     width = math.log(100 / percent * 1.001)
     band = int(math.log(n) / width)
@@ -102,11 +106,11 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
             same = kind[gap:] == kind[:-gap]
             a, c = own[:-gap][same], own[gap:][same]
             out.append((a * np.uint64(0x9E3779B97F4A7C15)) ^ (c * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(b & 0xFFFF)))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), False
 
 
 def _signed(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(doc, n, digest, sigs) of every row."""
+    """(doc, n, digest, pure, sigs) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_TOKENS
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,22 +118,37 @@ def _signed(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> D
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 b = whole.slice(k, 512)
-                n, digest, sigs = [], [], []
+                n, digest, pure, sigs = [], [], [], []
                 for text in b.column(1).to_pylist():
                     tokens = shingle_set(text, size)
                     n.append(len(tokens))
                     digest.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
-                    sigs.append(signatures(tokens, often, percent).view(np.int64) if len(tokens) else np.zeros(0, dtype=np.int64))
+                    own, single = signatures(tokens, often, percent) if len(tokens) else (tokens, True)
+                    sigs.append(own.view(np.int64))
+                    pure.append(single)
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
                 flat = np.concatenate(sigs) if sigs else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc", "n", "digest", "sigs"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(pure, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc", "n", "digest", "pure", "sigs"])
 
-    return docs.mapInArrow(sign, "doc long, n long, digest binary, sigs array<long>")
+    return docs.mapInArrow(sign, "doc long, n long, digest binary, pure boolean, sigs array<long>")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose whole sets reach the threshold. A pair's texts meet by two joins; rows come sorted
-    by b, whose set is kept from one row to the next."""
+def _promising(counted: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b, common), where common is the number of signatures that they share, those that may reach the
+    threshold: sizes within it, and enough in common. What two sets share lies in both prefixes or behind the one that
+    ends first, so with prefixes of single tokens the overlap is at most `common` plus the longer rest."""
+    side = lambda k: sizes.select(F.col("doc").alias(k), F.col("n").alias(f"n_{k}"), F.col("pure").alias(f"pure_{k}"), F.col("p").alias(f"p_{k}"))
+    both = counted.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return both.where(f"not (pure_a and pure_b) or common >= cast(ceil({percent} * (n_a + n_b) / {100 + percent}) as bigint) - greatest(n_a - p_a, n_b - p_b)").select("a", "b")
+
+
+def _linked(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose whole sets reach the threshold. Only the texts of these pairs are fetched, without
+    moving the others where the pairs' ids are few enough to broadcast; then a pair's texts meet by two joins. Rows come
+    sorted by b, whose set is kept from one row to the next."""
+    ids = settled(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    texts = settled(rows.join(F.broadcast(ids) if few else ids, "doc").dropDuplicates(["doc"]), "texts")
     left = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -148,7 +167,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                     dst.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["a", "b"])
 
-    return both.mapInArrow(verify, "a long, b long")
+    links = settled(both.mapInArrow(verify, "a long, b long"), "links")
+    discard(ids, texts)
+    return links
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,36 +178,43 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     rows = _texts(docs, key, text)
     signed = settled(_signed(rows, frequent_tokens(rows, size), size, percent), "signed")
     copies = settled(signed.where("digest is not null and doc is not null").groupBy("digest").agg(F.min("doc").alias("rep")), "copies")
-    own = signed.where("digest is not null").join(copies.select(F.col("rep").alias("doc")), "doc", "left_semi")
-    index = own.select(F.explode("sigs").alias("sig"), "doc", "n")
-    buckets = settled(index.groupBy("sig").agg(F.min(F.struct("doc", "n")).alias("lead"), F.max("doc").alias("_last")).where("lead.doc < _last").select("sig", "lead"), "buckets")
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    shared = settled(index.join(buckets, "sig").select("sig", "doc", "n", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("m")), "shared")
-    involved = shared.select("doc").distinct()
-    texts = settled(rows.join(involved, "doc").dropDuplicates(["doc"]), "texts")
-
-    first = shared.where("doc <> lead").where(fits).groupBy("doc", "lead").count().groupBy("doc").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
-    tried = settled(first.select(F.col("doc").alias("a"), F.col("lead").alias("b")), "tried")
-    links = settled(_linked(tried, texts, size, percent), "links")
-    members = shared.select("sig", "doc", "n").distinct()
-    for last in (False,) * (ROUNDS - 1) + (True,):
+    own = signed.where("digest is not null").join(copies.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc", "n", "pure", "sigs")
+    index = own.select(F.explode("sigs").alias("sig"), "doc")
+    buckets = settled(index.groupBy("sig").agg(F.min("doc").alias("lead"), F.max("doc").alias("_last")).where("lead < _last").select("sig", "lead"), "buckets")
+    shared = settled(index.join(buckets, "sig"), "shared")
+    sizes = settled(own.join(shared.select("doc").distinct(), "doc", "left_semi").select("doc", "n", "pure", F.size("sigs").alias("p")).dropDuplicates(["doc"]), "sizes")
+
+    # First every document with the leader that it shares most signatures with, if that is enough already.
+    most = shared.where("doc <> lead").groupBy("doc", "lead").count().groupBy("doc").agg(F.max(F.struct("count", (-F.col("lead")).alias("lead"))).alias("top"))
+    pairs = settled(_promising(most.select(F.col("doc").alias("a"), (-F.col("top.lead")).alias("b"), F.col("top.count").alias("common")), sizes, percent), "pairs")
+    links, tried = _linked(pairs, rows, size, percent), pairs
+    members, old, turn, last = shared.select("sig", "doc"), (shared, buckets), 0, False
+    while not last:
+        turn += 1
         labels = connected_components(links, "a", "b")
-        named = settled(members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", "n", F.coalesce("component", "doc").alias("label")), "named")
-        parts = named.groupBy("sig", "label").agg(F.count("*").alias("c"), F.min_by(F.struct("doc", "n"), F.xxhash64("doc", F.lit(int(last)))).alias("one"))
-        mixed = settled(parts.groupBy("sig").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("major"), F.max_by("one", F.struct("c", -F.col("label"))).alias("one"), F.count("*").alias("parts")).where("parts > 1"), "mixed")
-        few = settled(named.join(mixed, "sig").select("sig", "doc", "n", "label", "major", F.col("one.doc").alias("lead"), F.col("one.n").alias("m")), "mixed-members")
-        minor = few.where("label <> major")
+        named = settled(members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("label")), "named")
+        mixed = settled(named.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("sig"), "mixed")
+        few = settled(named.join(mixed, "sig"), "mixed-members")
+        discard(named, mixed, *old)
+        parts = few.groupBy("sig", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)), "doc")).alias("one"))
+        major = settled(parts.groupBy("sig").agg(F.max(F.struct("c", "label", "one")).alias("top"), F.sum("c").alias("c")).select("sig", F.col("top.label").alias("major"), F.col("top.one.doc").alias("lead"), F.expr("(c - top.c) * c").alias("work")), "major")
+        placed = few.join(major.select("sig", "major", "lead"), "sig")
+        minor = placed.where("label <> major")
+        # Members outside a bucket's largest component meet all others of it once that is little work, else its next leader.
+        work, size_now = major.agg(F.sum("work")).first()[0] or 0, few.select("doc").distinct().count()
+        last = turn >= ROUNDS or work <= WORK_PER_DOCUMENT * size_now
         if last:
-            other = few.select("sig", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("label").alias("with"), "major").select("sig", "b", "m", "with", (F.col("with") == F.col("major")).alias("is_major"))
-            found = minor.select("sig", F.col("doc").alias("a"), "n", "label").join(other, "sig").where("label <> with and (is_major or a < b)").where(fits)
+            other = placed.select("sig", F.col("doc").alias("b"), F.col("label").alias("with"), (F.col("label") == F.col("major")).alias("is_major"))
+            found = minor.select("sig", F.col("doc").alias("a"), "label").join(other, "sig").where("label <> with and (is_major or a < b)")
         else:
-            found = minor.select(F.col("doc").alias("a"), "n", F.col("lead").alias("b"), "m").where(fits)
-        pairs = found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = settled(pairs, "pairs")
-        new = settled(_linked(pairs, texts, size, percent), "links")
-        tried, links = tried.unionByName(pairs), links.unionByName(new)
-        members = few.select("sig", "doc", "n")
-    labels = settled(connected_components(links, "a", "b").withColumnRenamed("node", "rep"), "labels")
+            found = minor.select(F.col("doc").alias("a"), F.col("lead").alias("b"))
+        counted = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("common"))
+        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = settled(_promising(counted, sizes, percent).join(done, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(_linked(pairs, rows, size, percent))
+        tried, members, old = tried.unionByName(pairs), few.select("sig", "doc"), (few, major)
+    discard(*old, sizes)
+    labels = connected_components(links, "a", "b").withColumnRenamed("node", "rep")
     named = settled(copies.join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "components")
     out = signed.select("doc", "n", "digest").join(named, "digest", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.expr("if(doc is null, null, coalesce(component_id, doc))").alias("component_id"))

@@ -12,6 +12,7 @@ length are read whole; repeated rows give repeated results; `mask` passes other
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 from collections.abc import Iterator
@@ -118,7 +119,7 @@ LABELLED = [
 ]
 
 
-def labelled_rows(copies: int = 12, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def labelled_rows(copies: int = 8, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """(text, spans): the labelled table, every line filled in a few times."""
     r, out = random.Random(seed), []
     syllables = "ba co di fu ga he in jo ka lo mu ne or pa ri su te un ve wo".split()
@@ -318,13 +319,17 @@ def masked(text: str | None, spans: list[tuple]) -> str | None:
     return "".join(out) + text[at:]
 
 
+@functools.lru_cache(maxsize=1)
+def _default_field() -> Field:
+    return Field().fit(labelled_rows())
+
+
 def trained(spark: SparkSession, labelled: DataFrame | None = None, limit: int = 5000) -> Field:
     """The field, trained on a labelled table (text, spans as "kind:start:end,..."), by default the one above; at most
     `limit` rows of it are used."""
     if labelled is None:
-        rows = labelled_rows()
-    else:
-        rows = [(r["text"], [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in (r["spans"] or "").split(",") if s)]) for r in labelled.where("text is not null").orderBy("text").limit(limit).collect()]
+        return _default_field()
+    rows = [(r["text"], [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in (r["spans"] or "").split(",") if s)]) for r in labelled.where("text is not null").orderBy("text").limit(limit).collect()]
     return Field().fit(rows)
 
 

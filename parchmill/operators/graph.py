@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmill.session import settled
+from parchmill.session import discard, settled
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -23,7 +23,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         spread = both.join(labels.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
         lower = settled(labels.join(spread, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "cc-spread")
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        discard(labels)
         after = settled(lower.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label")), "cc-labels")
+        discard(lower)
         if after.where("old <> label").isEmpty():
+            discard(both)
             return after.select("node", F.col("label").alias("component"))
         labels = after.select("node", "label")
+        labels._settled_at = after._settled_at

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -48,11 +49,29 @@ def scratch_path(spark: SparkSession, what: str) -> str:
 
 def settled(df: DataFrame, what: str = "step") -> DataFrame:
     """Write the rows to the shared folder and read them back. This cuts the lineage, so a lost executor costs
-    a reread and never a recomputation, and later steps see the same rows each time they look."""
+    a reread and never a recomputation, and later steps see the same rows each time they look. What the write
+    shuffled is of no more use then, and Spark is told to drop it at once."""
     spark = df.sparkSession
     path = scratch_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_KEY, "false")
+    spark.conf.set(CLEAN_KEY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_KEY, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that no later step reads."""
+    for t in tables:
+        path = getattr(t, "_settled_at", None)
+        if path:
+            spark = t.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
