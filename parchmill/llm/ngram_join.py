@@ -1,14 +1,16 @@
 """Near-duplicate documents by an exact Jaccard join on word shingles.
 
-Tokens (shingles) are ordered rare ones first. A pair at or above the threshold misses few tokens of either side, so
-both must share something among the first tokens of each: rare tokens are indexed alone, frequent ones in combinations
-of two from one class of frequent tokens, and the prefix is extended until, whatever tokens a partner misses, a whole
-signature is left: the sum over classes of max(0, tokens - k + 1) must exceed the number that may be missing. The order
-and the classes only need to be the same for all documents, so frequencies may be estimates; the links are exact.
-
-Equal sets are one class from the start. Signature buckets first link their members to a leader, then only members
-of different components are compared, so a group of near copies never turns into all its pairs. A pair is dropped
-when its prefixes have too little in common for the threshold; verification compares whole shingle sets.
+Tokens (shingles) are ordered rare ones first, and by hash within a class. A pair at or above the threshold misses few
+tokens of either side, so both must share something among the first tokens of each: rare tokens are indexed alone, all
+others in combinations of two from one class, and the prefix is extended until, whatever tokens a partner misses, a
+whole signature is left: the sum over classes of max(0, tokens - k + 1) must exceed the number that may be missing.
+Rare are those tokens of the lowest hashes that fewer than RARE documents hold; only these hashes are counted, for
+prefixes reach no further. The links are exact whatever tokens count as rare, as long as all documents agree.
+
+Equal sets are one class from the start. Buckets of one signature first link their members to a leader; then small
+buckets (all those of single tokens) compare what is still in different components, and large ones go on with further
+leaders, so a group of near copies never turns into all its pairs. A pair is dropped when its prefixes have too little
+in common for the threshold; verification compares whole shingle sets.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; rows without an id link
 with nothing and have no component; repeated rows are copies; ties go to the least id; other columns are ignored.
@@ -29,14 +31,22 @@ from parchmill.llm.shingles import overlap, shingle_set
 from parchmill.operators.graph import connected_components
 from parchmill.session import discard, read_table, settled
 
-#: Shingles counted together before rare ones are left out, and the least count that stays.
-COUNT_AT_ONCE, LOCAL_COUNT = 2_000_000, 3
-#: Tokens in at least this many documents are frequent; at most FREQUENT_TOKENS of them are told apart, by raising it.
-FREQUENT, FREQUENT_TOKENS = 48, 1 << 18
-#: Tokens of a document for each class of frequent tokens, about.
+#: Tokens in at least this many documents are not rare. At most COMMON_TOKENS are told apart, by raising it.
+RARE, COMMON_TOKENS = 16, 1 << 23
+#: Bits of the table of common tokens that every task gets (16 MB); a token whose bit another one sets counts as common.
+TABLE_BITS = 27
+#: The lowest hashes, as a multiple of the share of tokens that a partner may miss.
+COUNTED = 2.5
+#: Shingles counted together before they are shuffled.
+COUNT_AT_ONCE = 1_000_000
+#: Tokens of a document for each class of common tokens, about.
 TOKENS_PER_CLASS = 32
+#: Members of a bucket that are compared with each other outright; at least RARE - 1.
+SMALL_BUCKET = 24
 #: Rounds of leaders at most, and comparisons a document that are little enough to make them all at once.
-ROUNDS, WORK_PER_DOCUMENT = 6, 100
+ROUNDS, WORK_PER_DOCUMENT = 6, 32
+#: Tokens of sets that a verifying task keeps at hand.
+TOKENS_HELD = 2_000_000
 #: Ids that may be broadcast, eight bytes each.
 BROADCAST_IDS = 1 << 20
 
@@ -45,10 +55,15 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
 
 
-def frequent_tokens(docs: DataFrame, size: int) -> np.ndarray:
-    """Sorted hashes of the tokens that many documents hold. Counts are added up for COUNT_AT_ONCE shingles at a time and
-    a token seen fewer than LOCAL_COUNT times among them is left out (lossy counting). The least count rises with the
-    total so that at most FREQUENT_TOKENS remain: that bounds what is broadcast."""
+def counted_below(percent: int) -> np.uint64:
+    """The hash below which tokens are counted."""
+    return np.uint64(min(1.0, COUNTED * (100 - percent) / 100) * (2**64 - 1025))
+
+
+def common_tokens(docs: DataFrame, size: int, percent: int) -> np.ndarray:
+    """A table of TABLE_BITS bits, packed: set where a counted token is held by RARE documents or more. The least count rises
+    with the total so that about COMMON_TOKENS of them remain at most; the driver gets the table's filled pieces only."""
+    limit, width = counted_below(percent), 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -56,12 +71,12 @@ def frequent_tokens(docs: DataFrame, size: int) -> np.ndarray:
 
         def flush():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            keep = counts >= LOCAL_COUNT
-            return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], names=["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], names=["token", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                held.append(shingle_set(text, size))
+                own = shingle_set(text, size)
+                held.append(own[: np.searchsorted(own, limit)])
                 n += len(held[-1])
                 if n >= COUNT_AT_ONCE:
                     yield flush()
@@ -69,83 +84,131 @@ def frequent_tokens(docs: DataFrame, size: int) -> np.ndarray:
         if n:
             yield flush()
 
-    counted = settled(docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "frequent")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    found = counted.where(F.col("n") >= max(FREQUENT, -(-total // FREQUENT_TOKENS))).select("token").toArrow().column("token")
-    return np.sort(found.combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64)) if len(found) else np.zeros(0, dtype=np.uint64)
+    counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= RARE)
+    found = settled(counts.withColumn("place", F.expr(f"token & {(1 << TABLE_BITS) - 1}")), "common")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    kept = found.where(F.col("n") >= max(RARE, -(-total // COMMON_TOKENS)))
+    pieces = kept.groupBy((F.col("place") / width).cast("int").alias("piece")).agg(F.collect_set(F.expr(f"cast(place % {width} as int)")).alias("bits"))  # at most `width` bits each
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                flags = np.zeros(width, dtype=bool)
+                flags[b.column(1)[k].values.to_numpy()] = True
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["piece", "packed"])
+
+    table = np.zeros((1 << TABLE_BITS) // 8, dtype=np.uint8)
+    for r in pieces.mapInArrow(pack, "piece int, packed binary").toLocalIterator():  # at most the table
+        table[r["piece"] * width // 8 :][: width // 8] = np.frombuffer(bytes(r["packed"]), dtype=np.uint8)
+    discard(found)
+    return table
+
 
+def is_rare(tokens: np.ndarray, table: np.ndarray, limit: np.uint64) -> np.ndarray:
+    place = tokens & np.uint64((1 << TABLE_BITS) - 1)
+    bit = table[place >> np.uint64(3)] >> (7 - (place & np.uint64(7))).astype(np.uint8) & 1
+    return (tokens < limit) & (bit == 0)
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, bool]:
-    """The signatures of a sorted token set: rare tokens as they are, pairs of frequent ones as mixed hashes. And whether
-    they are all single tokens, so that they are the set's prefix itself."""
+
+def signatures(tokens: np.ndarray, rare: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The signatures of a sorted token set, of which `rare` marks some: rare tokens as they are but for a last bit of 0, pairs
+    of others as mixed hashes with a last bit of 1. And how many single tokens there are."""
     n = len(tokens)
     missing = n - -(-percent * n // 100)
-    common = np.zeros(n, dtype=bool)
-    if len(frequent):
-        at = np.searchsorted(frequent, tokens)
-        at[at == len(frequent)] = 0
-        common = frequent[at] == tokens
-    rare = tokens[~common][: missing + 1]
-    need = missing + 1 - len(rare)
-    if need <= 0:
-        return rare, True
-    out, often = [rare], tokens[common]
-    width = math.log(100 / percent * 1.001)
-    band = int(math.log(n) / width)
-    for b in (band, band - 1):  # as the smaller and as the larger of a pair
-        classes = max(1, int(math.exp(b * width) / TOKENS_PER_CLASS))
-        kind = (often >> np.uint64(17)) % np.uint64(classes)
-        _, first = np.unique(kind, return_index=True)
-        adds = np.ones(len(often), dtype=np.int64)
-        adds[first] = 0
-        reached = np.searchsorted(np.cumsum(adds), need)
-        own, kind = often[: reached + 1], kind[: reached + 1]
-        order = np.argsort(kind, kind="stable")
-        own, kind = own[order], kind[order]
-        for gap in range(1, int(np.bincount(kind.astype(np.int64)).max(initial=1))):
-            same = kind[gap:] == kind[:-gap]
-            a, c = own[:-gap][same], own[gap:][same]
-            out.append((a * np.uint64(0x9E3779B97F4A7C15)) ^ (c * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(b & 0xFFFF)))
-    return np.unique(np.concatenate(out)), False
-
-
-def _signed(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(doc, n, digest, pure, sigs) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_TOKENS
+    single = tokens[rare][: missing + 1]
+    out = [single & ~np.uint64(1)]
+    need = missing + 1 - len(single)
+    if need > 0:
+        often = tokens[~rare]
+        width = math.log(100 / percent * 1.001)
+        band = int(math.log(n) / width)
+        for b in (band, band - 1):  # as the smaller and as the larger of a pair
+            classes = max(1, int(math.exp(b * width) / TOKENS_PER_CLASS))
+            kind = (often >> np.uint64(17)) % np.uint64(classes)
+            _, first = np.unique(kind, return_index=True)
+            adds = np.ones(len(often), dtype=np.int64)
+            adds[first] = 0
+            reached = np.searchsorted(np.cumsum(adds), need)
+            own, kind = often[: reached + 1], kind[: reached + 1]
+            order = np.argsort(kind, kind="stable")
+            own, kind = own[order], kind[order]
+            for gap in range(1, int(np.bincount(kind.astype(np.int64)).max(initial=1))):
+                same = kind[gap:] == kind[:-gap]
+                a, c = own[:-gap][same], own[gap:][same]
+                out.append((a * np.uint64(0x9E3779B97F4A7C15)) ^ (c * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(b & 0xFFFF)) | np.uint64(1))
+    return np.unique(np.concatenate(out)), len(single)
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens, by their low bits, in a power of two of bits that grows with the set. Bits in which two sketches
+    differ are tokens in which the sets differ; a longer sketch folds to a shorter one by halves."""
+    bits = max(64, 1 << (2 * len(tokens)).bit_length())
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """The least number of tokens in which the sets of two sketches differ."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.unpackbits(x ^ y).sum())
+
+
+def _signed(docs: DataFrame, table: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(doc, n, p, digest, sketch, sigs) of every row; p: its single tokens."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # TABLE_BITS bits
+    limit = counted_below(percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+        common = shared.value
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 b = whole.slice(k, 512)
-                n, digest, pure, sigs = [], [], [], []
+                n, digest, p, bits, sigs = [], [], [], [], []
                 for text in b.column(1).to_pylist():
                     tokens = shingle_set(text, size)
                     n.append(len(tokens))
                     digest.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
-                    own, single = signatures(tokens, often, percent) if len(tokens) else (tokens, True)
+                    own, single = signatures(tokens, is_rare(tokens, common, limit), percent) if len(tokens) else (tokens, 0)
                     sigs.append(own.view(np.int64))
-                    pure.append(single)
+                    p.append(single)
+                    bits.append(sketch(tokens))
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
                 flat = np.concatenate(sigs) if sigs else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(pure, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc", "n", "digest", "pure", "sigs"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(p, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc", "n", "p", "digest", "sketch", "sigs"])
+
+    return docs.mapInArrow(sign, "doc long, n long, p long, digest binary, sketch binary, sigs array<long>")
+
+
+def _alike(percent: int) -> str:
+    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
-    return docs.mapInArrow(sign, "doc long, n long, digest binary, pure boolean, sigs array<long>")
 
+def _promising(percent: int) -> str:
+    """SQL for whether sizes n_a, n_b and `common`, the single tokens that two prefixes of p_a and p_b share, allow the
+    threshold. What two sets share lies in both prefixes or behind the one that ends first, so the overlap is at most
+    `common` plus the longer rest."""
+    return f"{_alike(percent)} and common >= cast(ceil({percent} * (n_a + n_b) / {100 + percent}) as bigint) - greatest(n_a - p_a, n_b - p_b)"
 
-def _promising(counted: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b, common), where common is the number of signatures that they share, those that may reach the
-    threshold: sizes within it, and enough in common. What two sets share lies in both prefixes or behind the one that
-    ends first, so with prefixes of single tokens the overlap is at most `common` plus the longer rest."""
-    side = lambda k: sizes.select(F.col("doc").alias(k), F.col("n").alias(f"n_{k}"), F.col("pure").alias(f"pure_{k}"), F.col("p").alias(f"p_{k}"))
-    both = counted.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return both.where(f"not (pure_a and pure_b) or common >= cast(ceil({percent} * (n_a + n_b) / {100 + percent}) as bigint) - greatest(n_a - p_a, n_b - p_b)").select("a", "b")
 
+def _linked(pairs: DataFrame, own: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose whole sets reach the threshold. Sketches that differ in more bits than linked sets in
+    tokens turn most of the others away. Only the texts of the rest are fetched, without moving other texts where the
+    pairs' ids are few enough to broadcast; then a pair's texts meet by two joins. Rows come sorted by b, whose set is
+    kept from one row to the next."""
 
-def _linked(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose whole sets reach the threshold. Only the texts of these pairs are fetched, without
-    moving the others where the pairs' ids are few enough to broadcast; then a pair's texts meet by two joins. Rows come
-    sorted by b, whose set is kept from one row to the next."""
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
+            most = n + 2 * (-percent * n // (100 + percent))  # of tokens in one set alone
+            apart = [differing(x, y) for x, y in zip(b.column("s_a").to_pylist(), b.column("s_b").to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(np.array(apart, dtype=np.int64) <= most))
+
+    held = own.select("doc", "n", "sketch").dropDuplicates(["doc"])
+    side = lambda k: held.select(F.col("doc").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+    pairs = settled(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(near, "a long, b long"), "near")
     ids = settled(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = settled(rows.join(F.broadcast(ids) if few else ids, "doc").dropDuplicates(["doc"]), "texts")
@@ -154,13 +217,21 @@ def _linked(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataF
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
+        known: dict[int, np.ndarray] = {}
+        room = TOKENS_HELD
         for batch in batches:
             src, dst = [], []
             for a, b, ta, tb in zip(*(batch.column(k) for k in range(4)), strict=True):
                 b = b.as_py()
                 if b != last:
                     last, held = b, shingle_set(tb.as_py(), size)
-                own = shingle_set(ta.as_py(), size)
+                own = known.get(a.as_py())
+                if own is None:
+                    own = shingle_set(ta.as_py(), size)
+                    room -= len(own)
+                    if room < 0:
+                        known, room = {}, TOKENS_HELD - len(own)
+                    known[a.as_py()] = own
                 common = overlap(own, held)
                 if 100 * common >= percent * (len(own) + len(held) - common):
                     src.append(a.as_py())
@@ -176,46 +247,65 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     """doc_id, n_shingles, component_id of every row: documents link when 100 * intersection >= percent * union of their
     sets of `size`-word shingles, and a component is named by its least id."""
     rows = _texts(docs, key, text)
-    signed = settled(_signed(rows, frequent_tokens(rows, size), size, percent), "signed")
+    signed = settled(_signed(rows, common_tokens(rows, size, percent), size, percent), "signed")
     copies = settled(signed.where("digest is not null and doc is not null").groupBy("digest").agg(F.min("doc").alias("rep")), "copies")
-    own = signed.where("digest is not null").join(copies.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc", "n", "pure", "sigs")
-    index = own.select(F.explode("sigs").alias("sig"), "doc")
-    buckets = settled(index.groupBy("sig").agg(F.min("doc").alias("lead"), F.max("doc").alias("_last")).where("lead < _last").select("sig", "lead"), "buckets")
-    shared = settled(index.join(buckets, "sig"), "shared")
-    sizes = settled(own.join(shared.select("doc").distinct(), "doc", "left_semi").select("doc", "n", "pure", F.size("sigs").alias("p")).dropDuplicates(["doc"]), "sizes")
+    own = settled(signed.where("digest is not null").join(copies, "digest").where("doc = rep").select("doc", "n", "p", "sketch", "sigs"), "own")
+    index = own.select(F.explode("sigs").alias("sig"), "doc", "n", "p")
+    buckets = index.groupBy("sig").agg(F.min("doc").alias("lead"), F.max("doc").alias("_last"), F.count("*").alias("c")).where("lead < _last").drop("_last")
+    shared = settled(index.join(settled(buckets, "buckets"), "sig"), "shared")
+    sizes = own.select("doc", "n", "p").dropDuplicates(["doc"])
+    side = lambda k: sizes.select(*[F.col(c).alias(f"{c}_{k}" if c != "doc" else k) for c in ("doc", "n", "p")])
+    single = F.sum((F.col("sig") % 2 == 0).cast("long")).alias("common")
 
     # First every document with the leader that it shares most signatures with, if that is enough already.
-    most = shared.where("doc <> lead").groupBy("doc", "lead").count().groupBy("doc").agg(F.max(F.struct("count", (-F.col("lead")).alias("lead"))).alias("top"))
-    pairs = settled(_promising(most.select(F.col("doc").alias("a"), (-F.col("top.lead")).alias("b"), F.col("top.count").alias("common")), sizes, percent), "pairs")
-    links, tried = _linked(pairs, rows, size, percent), pairs
-    members, old, turn, last = shared.select("sig", "doc"), (shared, buckets), 0, False
-    while not last:
+    met = shared.where("doc <> lead").groupBy(F.col("doc").alias("a"), "lead", F.col("n").alias("n_a"), F.col("p").alias("p_a")).agg(F.count("*").alias("all"), single)
+    most = met.groupBy("a").agg(F.max(F.struct("all", (-F.col("lead")).alias("lead"), "n_a", "p_a", "common")).alias("top")).select("a", (-F.col("top.lead")).alias("b"), "top.n_a", "top.p_a", "top.common")
+    pairs = settled(most.join(side("b"), "b").where(_promising(percent)).select("a", "b"), "pairs")
+    links, tried = _linked(pairs, own, rows, size, percent), pairs
+    members, turn = shared.select("sig", "doc", "n", "p", "c"), 0
+    while True:
         turn += 1
         labels = connected_components(links, "a", "b")
-        named = settled(members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("label")), "named")
-        mixed = settled(named.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("sig"), "mixed")
-        few = settled(named.join(mixed, "sig"), "mixed-members")
-        discard(named, mixed, *old)
-        parts = few.groupBy("sig", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)), "doc")).alias("one"))
-        major = settled(parts.groupBy("sig").agg(F.max(F.struct("c", "label", "one")).alias("top"), F.sum("c").alias("c")).select("sig", F.col("top.label").alias("major"), F.col("top.one.doc").alias("lead"), F.expr("(c - top.c) * c").alias("work")), "major")
-        placed = few.join(major.select("sig", "major", "lead"), "sig")
-        minor = placed.where("label <> major")
-        # Members outside a bucket's largest component meet all others of it once that is little work, else its next leader.
-        work, size_now = major.agg(F.sum("work")).first()[0] or 0, few.select("doc").distinct().count()
-        last = turn >= ROUNDS or work <= WORK_PER_DOCUMENT * size_now
-        if last:
-            other = placed.select("sig", F.col("doc").alias("b"), F.col("label").alias("with"), (F.col("label") == F.col("major")).alias("is_major"))
-            found = minor.select("sig", F.col("doc").alias("a"), "label").join(other, "sig").where("label <> with and (is_major or a < b)")
-        else:
-            found = minor.select(F.col("doc").alias("a"), F.col("lead").alias("b"))
-        counted = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("common"))
+        named = settled(members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component"), "named")
+        large = named.where((F.col("c") > SMALL_BUCKET) & (F.col("sig") % 2 != 0))
+        mixed = large.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("sig")
+        few = settled(large.join(mixed, "sig"), "mixed-members")
+        docs_left, last = few.select("doc").distinct().count(), True
+        found = None
+        if docs_left:
+            parts = few.groupBy("sig", "label").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)), "doc")).alias("one"))
+            major = settled(parts.groupBy("sig").agg(F.max(F.struct("m", "label", "one")).alias("top"), F.sum("m").alias("m")).select("sig", F.col("top.label").alias("major"), F.col("top.one.doc").alias("lead"), F.expr("(m - top.m) * m").alias("work")), "major")
+            placed = few.join(major.select("sig", "major", "lead"), "sig")
+            minor = placed.where("label <> major")
+            # Members outside a bucket's largest component meet all others of it once that is little work, else its next leader.
+            last = turn >= ROUNDS or (turn > 1 and links_before == links.count()) or (major.agg(F.sum("work")).first()[0] or 0) <= WORK_PER_DOCUMENT * docs_left
+            if last:
+                other = placed.select("sig", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("p").alias("p_b"), F.col("label").alias("with"), (F.col("label") == F.col("major")).alias("is_major"))
+                met = minor.select("sig", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), "label").join(other, "sig").where("label <> with and (is_major or a < b)")
+            else:
+                met = minor.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("lead").alias("b")).distinct().join(side("b"), "b")
+            met = met.withColumn("common", F.lit(0)).where(_promising(percent))  # pairs with a single token in common meet below
+            found = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if turn == 1:
+            little = named.where((F.col("c") <= SMALL_BUCKET) | (F.col("sig") % 2 == 0))
+            one = lambda k: little.select("sig", *[F.col(c).alias(f"{c}_{k}" if c != "doc" else k) for c in ("doc", "n", "p", "label")])
+            met = one("a").join(one("b"), "sig").where(f"a < b and label_a <> label_b and {_alike(percent)}")
+            near = met.groupBy("a", "b", "n_a", "p_a", "n_b", "p_b").agg(single).where(_promising(percent)).select("a", "b")
+            found = near if found is None else found.union(near).distinct()
+        if found is None:
+            break
         done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = settled(_promising(counted, sizes, percent).join(done, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(_linked(pairs, rows, size, percent))
-        tried, members, old = tried.unionByName(pairs), few.select("sig", "doc"), (few, major)
-    discard(*old, sizes)
+        pairs = settled(found.join(done, ["a", "b"], "left_anti"), "pairs")
+        links_before = links.count()
+        links = links.unionByName(_linked(pairs, own, rows, size, percent))
+        tried = tried.unionByName(pairs)
+        discard(named)
+        if last:
+            break
+        members = few.select("sig", "doc", "n", "p", "c")
     labels = connected_components(links, "a", "b").withColumnRenamed("node", "rep")
     named = settled(copies.join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "components")
+    discard(shared, own)
     out = signed.select("doc", "n", "digest").join(named, "digest", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.expr("if(doc is null, null, coalesce(component_id, doc))").alias("component_id"))
 
