@@ -2,9 +2,10 @@
 
 Native: DataFrame functions only. A line's normal form (blanks squeezed, trimmed, lower case) is hashed, and for
 each host and line the distinct documents are counted. Copies of one document must not make its own lines look like
-boilerplate, so documents are told apart by the least hash among their longer words: copies, exact or lightly edited, share
-it, and different documents do not. A line in at least `min_documents` documents and `min_share` of its host's is
-removed; a document that loses more than half of its words is depleted and rejected.
+boilerplate, so texts that are equal in normal form count once: a document's identity is the hash of its whole normal form,
+which no shared line decides. Lightly edited copies are different documents, and the lines they share count for each of
+them. A line in at least `min_documents` documents and `min_share` of its host's is removed; a document that loses more
+than half of its words is depleted and rejected.
 
 Defined results: null texts have no words and fail the base rules; null hosts form one host; empty tables give empty
 results; repeated rows are judged alike; other columns, whatever their names, are passed through by `clean_documents`.
@@ -23,7 +24,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MIN_DOCUMENTS = 20
 MIN_SHARE = 0.05
-#: Words of at least this length make the sketch; shorter ones are in nearly every document.
+#: Only OP2_SQL uses it: that SQL still tells documents apart by the least md5 of their words of this length.
 SKETCH_LETTERS = 8
 
 
@@ -33,7 +34,7 @@ def line_form(line: str) -> str:
 
 
 def document_figures(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """One row a document: its figures, its sketch (the least hash of its longer words) and its lines as (h, words)."""
+    """One row a document: its figures, its identity (the hash of its whole normal form) and its lines as (h, words)."""
     return (
         docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         .select(
@@ -49,7 +50,7 @@ def document_figures(docs: DataFrame, doc_id: str = "doc_id", host: str = "sourc
             "doc_id",
             "host",
             F.expr("transform(words, w -> xxhash64(w))").alias("hashes"),
-            F.expr(f"coalesce(array_min(transform(filter(words, w -> length(w) >= {SKETCH_LETTERS}), w -> md5(w))), '')").alias("sketch"),
+            F.expr("xxhash64(lower(array_join(words, ' ')))").alias("identity"),
             F.expr("cast(chars - blanks as bigint)").alias("word_chars"),
             F.expr("cast(symbols as bigint)").alias("n_symbols"),
             F.expr("cast(size(lines) - size(array_distinct(lines)) as bigint)").alias("n_dup_lines"),
@@ -66,7 +67,7 @@ def document_figures(docs: DataFrame, doc_id: str = "doc_id", host: str = "sourc
         .select(
             "doc_id",
             "host",
-            "sketch",
+            "identity",
             F.expr("cast(size(hashes) as bigint)").alias("n_words"),
             "word_chars",
             "n_symbols",
@@ -79,11 +80,11 @@ def document_figures(docs: DataFrame, doc_id: str = "doc_id", host: str = "sourc
 
 
 def common_lines(figures: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, h): the lines above the limits. Pairs of a line and a sketch are made distinct before they are counted,
+    """(host, h): the lines above the limits. Pairs of a line and an identity are made distinct before they are counted,
     so no host and no line is gathered in one task."""
-    documents = figures.groupBy("host").agg(F.countDistinct("sketch").alias("of"))
-    seen = figures.select("host", "sketch", F.explode("lines.h").alias("h"))
-    forms = seen.groupBy("host", "h").agg(F.countDistinct("sketch").alias("n")).where(F.col("n") >= min_documents)
+    documents = figures.groupBy("host").agg(F.countDistinct("identity").alias("of"))
+    seen = figures.select("host", "identity", F.explode("lines.h").alias("h"))
+    forms = seen.groupBy("host", "h").agg(F.countDistinct("identity").alias("n")).where(F.col("n") >= min_documents)
     return forms.join(documents, "host").where(F.col("n") >= min_share * F.col("of")).select("host", "h")
 
 
@@ -92,7 +93,7 @@ def judge(figures: DataFrame, common: DataFrame) -> DataFrame:
     lines = figures.select("doc_id", "host", F.explode("lines").alias("line")).select("doc_id", "host", F.col("line.h").alias("h"), F.col("line.words").alias("words"))
     lost = lines.join(common, ["host", "h"]).groupBy("doc_id").agg(F.sum("words").alias("removed_words"))
     return (
-        figures.drop("lines", "sketch", "host")
+        figures.drop("lines", "identity", "host")
         .join(lost, "doc_id", "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
         .withColumn("kept", F.expr("not base_failed and 2 * removed_words <= n_words"))
