@@ -449,7 +449,8 @@ def j2(spark, d):
 r(s, t) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s), c AS (SELECT s AS doc_id, min(t) AS component FROM r GROUP BY 1 HAVING count(*) > 1)
 SELECT doc_id, component FROM c JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY component ORDER BY n_chars DESC, doc_id) > 1""")
 def j10(spark, d):
-    rows = T(spark, d, "documents").select("doc_id", "n_chars", F.sha2(F.lower("text"), 256).alias("a"), F.substring("text", 1, 40).alias("b"))
+    form = F.nullif(X.hash_form(F.col("text")), F.lit(""))
+    rows = T(spark, d, "documents").select("doc_id", "n_chars", F.sha2(F.lower("text"), 256).alias("a"), F.sha2(form, 256).alias("b"))
     return reconcile.duplicates_to_remove(rows, "doc_id", ["a", "b"], ["n_chars"])
 
 
