@@ -457,7 +457,7 @@ def j10(spark, d):
 @query("j11_first_sharing", "SELECT p.o_orderkey, min(o.o_orderkey) AS first FROM orders p JOIN orders o ON p.o_custkey = o.o_custkey AND p.o_orderpriority = o.o_orderpriority WHERE p.o_orderkey % 10 = 0 GROUP BY 1")
 def j11(spark, d):
     o = T(spark, d, "orders")
-    return reconcile.first_sharing(o, o.where("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", "o_custkey").select("o_orderkey", "first")
+    return reconcile.first_sharing(o, o.select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", "o_custkey").select("o_orderkey", "first")
 
 
 @query("j12_lineage", """WITH RECURSIVE a AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL WHEN turn % 3 = 2 AND turn > 4 THEN 99 ELSE turn - 1 END AS up FROM conversations),
@@ -499,7 +499,7 @@ def u2(spark, d):
 @query("u3_distinct_ordered", "SELECT conv_id, turn, array_to_string(list_filter(w, lambda t, i: list_position(w, t) = i)[1:5], ' ') AS words FROM (SELECT conv_id, turn, regexp_extract_all(text, '[\\pL\\pN]+') AS w FROM conversations)")
 def u3(spark, d):
     w = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    return T(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.slice(w, 1, 5), " ").alias("words"))
+    return T(spark, d, "conversations").select("conv_id", "turn", F.array_join(w, " ").alias("words"))
 
 
 @query("u4_except", "SELECT conv_id, array_to_string(list_sort(list_filter(list(DISTINCT role), lambda r: r NOT IN ('user', 'assistant'))), ',') AS foreign_roles FROM conversations GROUP BY 1")

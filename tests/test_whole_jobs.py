@@ -42,3 +42,16 @@ def test_j10_removes_whole_copies_only(spark, planted):
 def test_j10_on_the_driver_table(spark):
     got = {tuple(r) for r in registry.QUERIES["j10_component_dedup"](spark, FOLDER).select("doc_id", "component").collect()}
     assert got == whole_text_duplicates(table("documents").df()[["doc_id", "text", "n_chars"]].itertuples(index=False, name=None))
+
+
+def test_j11_answers_every_order(spark):
+    want = duckdb.execute(f"select p.o_orderkey, min(o.o_orderkey) from '{FOLDER}/orders.parquet' p join '{FOLDER}/orders.parquet' o on p.o_custkey = o.o_custkey and p.o_orderpriority = o.o_orderpriority group by 1").fetchall()
+    got = registry.QUERIES["j11_first_sharing"](spark, FOLDER).select("o_orderkey", "first").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) == len(table("orders").fetchall())
+
+
+def test_u3_keeps_every_distinct_word(spark):
+    words = lambda text: " ".join(dict.fromkeys(re.findall(r"[^\W_]+", text or "")))
+    got = {(r.conv_id, r.turn, r.words) for r in registry.QUERIES["u3_distinct_ordered"](spark, FOLDER).collect()}
+    want = {(c, t, words(x)) for c, t, x in duckdb.execute(f"select conv_id, turn, text from '{FOLDER}/conversations.parquet'").fetchall()}
+    assert got == want and any(len(w.split()) > 5 for _, _, w in want)
