@@ -7,10 +7,11 @@ whole signature is left: the sum over classes of max(0, tokens - k + 1) must exc
 Rare are those tokens of the lowest hashes that fewer than RARE documents hold; only these hashes are counted, for
 prefixes reach no further. The links are exact whatever tokens count as rare, as long as all documents agree.
 
-Equal sets are one class from the start. Buckets of one signature first link their members to a leader; then small
-buckets (all those of single tokens) compare what is still in different components, and large ones go on with further
-leaders, so a group of near copies never turns into all its pairs. A pair is dropped when its prefixes have too little
-in common for the threshold; verification compares whole shingle sets.
+Equal sets are one class from the start. Every document first meets the leader that it shares most signatures with, then
+small buckets (all those of single tokens) compare what is still in different components. Members of large buckets are
+joined by their differences from the bucket's leader (see `differences`), so that neither a group of near copies nor one of
+texts that are alike but below the threshold turns into all its pairs. A pair is dropped when its prefixes have too little in
+common for the threshold; verification compares whole shingle sets.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; rows without an id link
 with nothing and have no component; repeated rows are copies; ties go to the least id; other columns are ignored.
@@ -24,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parchmill.llm import differences
 from parchmill.llm.shingles import overlap, shingle_set
 from parchmill.operators.graph import connected_components
 from parchmill.session import discard, read_table, settled
 
-#: Tokens in at least this many documents are not rare. At most COMMON_TOKENS are told apart, by raising it.
-RARE, COMMON_TOKENS = 16, 1 << 23
+#: Tokens in at least this many documents are not rare.
+RARE = 16
 #: Bits of the table of common tokens that every task gets (16 MB); a token whose bit another one sets counts as common.
 TABLE_BITS = 27
 #: The lowest hashes, as a multiple of the share of tokens that a partner may miss.
@@ -41,10 +43,8 @@ COUNTED = 2.5
 COUNT_AT_ONCE = 1_000_000
 #: Tokens of a document for each class of common tokens, about.
 TOKENS_PER_CLASS = 32
-#: Members of a bucket that are compared with each other outright; at least RARE - 1.
+#: Members of a bucket that are compared with each other outright; at least RARE - 1, for buckets of a single token.
 SMALL_BUCKET = 24
-#: Rounds of leaders at most, and comparisons a document that are little enough to make them all at once.
-ROUNDS, WORK_PER_DOCUMENT = 6, 32
 #: Tokens of sets that a verifying task keeps at hand.
 TOKENS_HELD = 2_000_000
 #: Ids that may be broadcast, eight bytes each.
@@ -61,8 +61,8 @@ def counted_below(percent: int) -> np.uint64:
 
 
 def common_tokens(docs: DataFrame, size: int, percent: int) -> np.ndarray:
-    """A table of TABLE_BITS bits, packed: set where a counted token is held by RARE documents or more. The least count rises
-    with the total so that about COMMON_TOKENS of them remain at most; the driver gets the table's filled pieces only."""
+    """A table of TABLE_BITS bits, packed: set where a counted token is held by RARE documents or more, so that a token whose bit
+    is not set has fewer; the driver gets the table's filled pieces only."""
     limit, width = counted_below(percent), 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,10 +85,8 @@ def common_tokens(docs: DataFrame, size: int, percent: int) -> np.ndarray:
             yield flush()
 
     counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= RARE)
-    found = settled(counts.withColumn("place", F.expr(f"token & {(1 << TABLE_BITS) - 1}")), "common")
-    total = found.agg(F.sum("n")).first()[0] or 0
-    kept = found.where(F.col("n") >= max(RARE, -(-total // COMMON_TOKENS)))
-    pieces = kept.groupBy((F.col("place") / width).cast("int").alias("piece")).agg(F.collect_set(F.expr(f"cast(place % {width} as int)")).alias("bits"))  # at most `width` bits each
+    found = counts.select(F.expr(f"token & {(1 << TABLE_BITS) - 1}").alias("place"))
+    pieces = found.groupBy((F.col("place") / width).cast("int").alias("piece")).agg(F.collect_set(F.expr(f"cast(place % {width} as int)")).alias("bits"))  # at most `width` bits each
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,7 +98,6 @@ def common_tokens(docs: DataFrame, size: int, percent: int) -> np.ndarray:
     table = np.zeros((1 << TABLE_BITS) // 8, dtype=np.uint8)
     for r in pieces.mapInArrow(pack, "piece int, packed binary").toLocalIterator():  # at most the table
         table[r["piece"] * width // 8 :][: width // 8] = np.frombuffer(bytes(r["packed"]), dtype=np.uint8)
-    discard(found)
     return table
 
 
@@ -193,6 +190,17 @@ def _promising(percent: int) -> str:
     return f"{_alike(percent)} and common >= cast(ceil({percent} * (n_a + n_b) / {100 + percent}) as bigint) - greatest(n_a - p_a, n_b - p_b)"
 
 
+def _with_texts(pairs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, b, ta, tb) of pairs (a, b), and two settled tables to discard later. Other texts are not moved where the ids are few
+    enough to broadcast; then a pair's texts meet by two joins."""
+    ids = settled(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    texts = settled(rows.join(F.broadcast(ids) if few else ids, "doc").dropDuplicates(["doc"]), "texts")
+    left = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    return both, ids, texts
+
+
 def _linked(pairs: DataFrame, own: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose whole sets reach the threshold. Sketches that differ in more bits than linked sets in
     tokens turn most of the others away. Only the texts of the rest are fetched, without moving other texts where the
@@ -209,11 +217,7 @@ def _linked(pairs: DataFrame, own: DataFrame, rows: DataFrame, size: int, percen
     held = own.select("doc", "n", "sketch").dropDuplicates(["doc"])
     side = lambda k: held.select(F.col("doc").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
     pairs = settled(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(near, "a long, b long"), "near")
-    ids = settled(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = settled(rows.join(F.broadcast(ids) if few else ids, "doc").dropDuplicates(["doc"]), "texts")
-    left = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    both, *used = _with_texts(pairs, rows)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -239,10 +243,61 @@ def _linked(pairs: DataFrame, own: DataFrame, rows: DataFrame, size: int, percen
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["a", "b"])
 
     links = settled(both.mapInArrow(verify, "a long, b long"), "links")
-    discard(ids, texts)
+    discard(pairs, *used)
     return links
 
 
+def _named(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members with the label of their component."""
+    labels = connected_components(links, "a", "b").withColumnRenamed("node", "doc")
+    return members.join(labels, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
+
+
+def _single() -> Column:
+    return F.sum((F.col("sig") % 2 == 0).cast("long")).alias("common")
+
+
+def _leaders(shared: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every document with the leader that it shares most signatures with, if that is enough already."""
+    met = shared.where("doc <> lead").groupBy(F.col("doc").alias("a"), "lead", F.col("n").alias("n_a"), F.col("p").alias("p_a")).agg(F.count("*").alias("all"), _single())
+    most = met.groupBy("a").agg(F.max(F.struct("all", (-F.col("lead")).alias("lead"), "n_a", "p_a", "common")).alias("top")).select("a", (-F.col("top.lead")).alias("b"), "top.n_a", "top.p_a", "top.common")
+    sizes = own.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("p").alias("p_b")).dropDuplicates(["b"])
+    return most.join(sizes, "b").where(_promising(percent)).select("a", "b")
+
+
+def _in_small_buckets(named: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of different components that share a small bucket, of which no more than SMALL_BUCKET are in one."""
+    little = named.where(F.col("c") <= SMALL_BUCKET)
+    one = lambda k: little.select("sig", *[F.col(c).alias(f"{c}_{k}" if c != "doc" else k) for c in ("doc", "n", "p", "label")])
+    met = one("a").join(one("b"), "sig").where(f"a < b and label_a <> label_b and {_alike(percent)}")
+    return met.groupBy("a", "b", "n_a", "p_a", "n_b", "p_b").agg(_single()).where(_promising(percent)).select("a", "b")
+
+
+def _with_leaders(named: DataFrame) -> DataFrame:
+    """(a, b): the members of large buckets of more than one component, each with the leaders of its buckets. A bucket's leader is
+    the member that has most company in large buckets, so that the buckets of one group agree on few leaders."""
+    large = named.where(F.col("c") > SMALL_BUCKET)
+    mixed = large.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("sig")
+    members = settled(large.join(mixed, "sig").select("sig", "doc", "c"), "mixed")
+    company = members.groupBy("doc").agg(F.sum("c").alias("company"))
+    heads = members.join(company, "doc").groupBy("sig").agg(F.max(F.struct("company", (-F.col("doc")).alias("lead"))).alias("top")).select("sig", (-F.col("top.lead")).alias("b"))
+    pairs = settled(members.join(heads, "sig").select(F.col("doc").alias("a"), "b").where("a <> b").distinct(), "led")
+    discard(members)
+    return pairs
+
+
+def _in_large_buckets(named: DataFrame, links: DataFrame, own: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links (a, b) that members of large buckets add to those there are."""
+    pairs = _with_leaders(named)
+    both, *used = _with_texts(pairs, rows)
+    apart = settled(differences.from_leaders(both, size, percent), "differences")
+    discard(pairs, *used)
+    near = apart.where("near").select(F.col("doc").alias("a"), F.col("lead").alias("b"))
+    labels = connected_components(links.select("a", "b").union(near), "a", "b")
+    met = settled(differences.candidates(differences.buckets(apart, labels), percent), "met")
+    return near.union(_linked(met, own, rows, size, percent))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row: documents link when 100 * intersection >= percent * union of their
     sets of `size`-word shingles, and a component is named by its least id."""
@@ -253,56 +308,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     index = own.select(F.explode("sigs").alias("sig"), "doc", "n", "p")
     buckets = index.groupBy("sig").agg(F.min("doc").alias("lead"), F.max("doc").alias("_last"), F.count("*").alias("c")).where("lead < _last").drop("_last")
     shared = settled(index.join(settled(buckets, "buckets"), "sig"), "shared")
-    sizes = own.select("doc", "n", "p").dropDuplicates(["doc"])
-    side = lambda k: sizes.select(*[F.col(c).alias(f"{c}_{k}" if c != "doc" else k) for c in ("doc", "n", "p")])
-    single = F.sum((F.col("sig") % 2 == 0).cast("long")).alias("common")
-
-    # First every document with the leader that it shares most signatures with, if that is enough already.
-    met = shared.where("doc <> lead").groupBy(F.col("doc").alias("a"), "lead", F.col("n").alias("n_a"), F.col("p").alias("p_a")).agg(F.count("*").alias("all"), single)
-    most = met.groupBy("a").agg(F.max(F.struct("all", (-F.col("lead")).alias("lead"), "n_a", "p_a", "common")).alias("top")).select("a", (-F.col("top.lead")).alias("b"), "top.n_a", "top.p_a", "top.common")
-    pairs = settled(most.join(side("b"), "b").where(_promising(percent)).select("a", "b"), "pairs")
-    links, tried = _linked(pairs, own, rows, size, percent), pairs
-    members, turn = shared.select("sig", "doc", "n", "p", "c"), 0
-    while True:
-        turn += 1
-        labels = connected_components(links, "a", "b")
-        named = settled(members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component"), "named")
-        large = named.where((F.col("c") > SMALL_BUCKET) & (F.col("sig") % 2 != 0))
-        mixed = large.groupBy("sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("sig")
-        few = settled(large.join(mixed, "sig"), "mixed-members")
-        docs_left, last = few.select("doc").distinct().count(), True
-        found = None
-        if docs_left:
-            parts = few.groupBy("sig", "label").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)), "doc")).alias("one"))
-            major = settled(parts.groupBy("sig").agg(F.max(F.struct("m", "label", "one")).alias("top"), F.sum("m").alias("m")).select("sig", F.col("top.label").alias("major"), F.col("top.one.doc").alias("lead"), F.expr("(m - top.m) * m").alias("work")), "major")
-            placed = few.join(major.select("sig", "major", "lead"), "sig")
-            minor = placed.where("label <> major")
-            # Members outside a bucket's largest component meet all others of it once that is little work, else its next leader.
-            last = turn >= ROUNDS or (turn > 1 and links_before == links.count()) or (major.agg(F.sum("work")).first()[0] or 0) <= WORK_PER_DOCUMENT * docs_left
-            if last:
-                other = placed.select("sig", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("p").alias("p_b"), F.col("label").alias("with"), (F.col("label") == F.col("major")).alias("is_major"))
-                met = minor.select("sig", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), "label").join(other, "sig").where("label <> with and (is_major or a < b)")
-            else:
-                met = minor.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("lead").alias("b")).distinct().join(side("b"), "b")
-            met = met.withColumn("common", F.lit(0)).where(_promising(percent))  # pairs with a single token in common meet below
-            found = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if turn == 1:
-            little = named.where((F.col("c") <= SMALL_BUCKET) | (F.col("sig") % 2 == 0))
-            one = lambda k: little.select("sig", *[F.col(c).alias(f"{c}_{k}" if c != "doc" else k) for c in ("doc", "n", "p", "label")])
-            met = one("a").join(one("b"), "sig").where(f"a < b and label_a <> label_b and {_alike(percent)}")
-            near = met.groupBy("a", "b", "n_a", "p_a", "n_b", "p_b").agg(single).where(_promising(percent)).select("a", "b")
-            found = near if found is None else found.union(near).distinct()
-        if found is None:
-            break
-        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = settled(found.join(done, ["a", "b"], "left_anti"), "pairs")
-        links_before = links.count()
-        links = links.unionByName(_linked(pairs, own, rows, size, percent))
-        tried = tried.unionByName(pairs)
-        discard(named)
-        if last:
-            break
-        members = few.select("sig", "doc", "n", "p", "c")
+    links = _linked(settled(_leaders(shared, own, percent), "pairs"), own, rows, size, percent)
+    members = shared.select("sig", "doc", "n", "p", "c")
+    links = links.union(_linked(settled(_in_small_buckets(_named(members, links), percent), "pairs"), own, rows, size, percent))
+    links = links.union(_in_large_buckets(_named(members.where(F.col("c") > SMALL_BUCKET), links), links, own, rows, size, percent))
     labels = connected_components(links, "a", "b").withColumnRenamed("node", "rep")
     named = settled(copies.join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "components")
     discard(shared, own)
@@ -313,8 +322,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose id names their component, one row for each: one document of each group stays. Rows without
     an id stay too."""
-    first = near_duplicates(docs, size, percent, key, text).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    named = docs.where(F.col(key).isNotNull()).join(first, F.col(key) == F.col("_first"), "left_semi").dropDuplicates([key])
+    first = near_duplicates(docs, size, percent, key, text).where("doc_id = component_id").select(F.col("doc_id").cast(docs.schema[key].dataType).alias(key)).distinct()
+    named = docs.where(F.col(key).isNotNull()).join(first, key, "left_semi").dropDuplicates([key])
     return named.unionByName(docs.where(F.col(key).isNull()))
 
 
