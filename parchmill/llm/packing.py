@@ -25,7 +25,7 @@ from parchmill.session import read_table, settled, tokenizer_path
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces of one length are ranked in groups of about this many, at least 64 groups a length.
+#: Pieces of one length are ranked in groups of at most this many.
 RANK_GROUP = 50_000
 
 
@@ -104,39 +104,32 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
     return steps, made
 
 
-def pack(pieces: DataFrame, key: list[str], length: str = "length", capacity: int = CAPACITY) -> DataFrame:
-    """pieces with sequence_id and offset. `pieces` must be a settled table: it is read twice. Lengths lie in 1..capacity;
-    null or other lengths are an error."""
-    sizes = pieces.groupBy(F.col(length).alias("length")).count().collect()  # at most `capacity` rows
+def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) -> DataFrame:
+    """pieces with sequence_id and offset (which replace columns of these names). Lengths lie in 1..capacity; null or other
+    lengths are an error. The rows are settled first, each with a number of its own, so that repeated rows are told apart
+    and a length's ranks come from groups of bounded size, whatever the columns hold."""
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    number = F.monotonically_increasing_id().alias("number")
+    rows = settled(pieces.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(f"`{length}`").cast("long").alias("length"), number), "pieces")
+    sizes = rows.groupBy("length").count().collect()  # at most `capacity` rows
     if any(r["length"] is None or not 1 <= r["length"] <= capacity for r in sizes):
         raise ValueError(f"lengths must lie in 1..{capacity}")
-    counts = {r["length"]: r["count"] for r in sizes}
-    groups = max(64, -(-sum(counts.values()) // RANK_GROUP))
-    steps, _ = plan({k: n for k, n in counts.items() if k < capacity}, capacity)
+    steps, made = plan({r["length"]: r["count"] for r in sizes if r["length"] < capacity}, capacity)
     steps.sort()
-    made = _
     kinds = np.array([s[0] for s in steps], dtype=np.int64)
     starts, firsts, eachs, offsets = (np.array([s[k] for s in steps], dtype=np.int64) for k in (1, 2, 3, 4))
     order = kinds << 45 | starts
 
-    salted = pieces.withColumn("_group", F.expr(f"cast(pmod(xxhash64({', '.join(f'`{k}`' for k in key)}), {groups}) as int)"))
-    before = (
-        salted.groupBy(F.col(length).alias("_length"), "_group")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(Window.partitionBy("_length").orderBy("_group")) - F.col("_n"))
-        .drop("_n")
-    )
-    inside = Window.partitionBy(length, "_group").orderBy(*key)
-    ranked = salted.withColumn("_inside", F.row_number().over(inside) - 1).join(
-        before, (F.col(length) == F.col("_length")) & (salted["_group"] == before["_group"])
-    ).select(*(pieces[c] for c in pieces.columns), (F.col("_inside") + F.col("_before")).alias("_rank"))
-    at = pieces.columns.index(length)
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    grouped = rows.withColumn("group", F.expr(f"number div {RANK_GROUP}"))
+    counts = grouped.groupBy("length", "group").agg(F.count("*").alias("n"))
+    before = counts.select("length", "group", (F.sum("n").over(Window.partitionBy("length").orderBy("group")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("length", "group").orderBy("number")) - 1
+    ranked = grouped.withColumn("inside", inside).join(before, ["length", "group"]).select("row", "length", (F.col("inside") + F.col("before")).alias("rank"))
+    schema = T.StructType([ranked.schema["row"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = b.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+            size, rank = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
             whole = size == capacity
             seq, off = made + rank, np.zeros(len(size), dtype=np.int64)
             if len(order) and not whole.all():
@@ -144,9 +137,9 @@ def pack(pieces: DataFrame, key: list[str], length: str = "length", capacity: in
                 n = rank - starts[k]
                 seq = np.where(whole, seq, firsts[k] + n // eachs[k])
                 off = np.where(whole, 0, offsets[k] + n % eachs[k] * size)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(seq), pa.array(off)], names=[*b.schema.names[:-1], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seq), pa.array(off)], names=["row", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(place, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in own], "sequence_id", "offset")
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -180,7 +173,8 @@ _encoders: dict[str, object] = {}
 
 def fast_encoder(path: str):
     """text -> packed ids, equal to the tokenizers library's on the same file. The compiled merger of tiktoken does
-    the work where the file is a byte-level vocabulary whose ids follow its merges (as the public ones do)."""
+    the work where the file is a byte-level vocabulary whose ids follow its merges (as the public ones do); what its
+    regular expressions give up on (runs of hundreds of thousands of blanks), the codec of `bpe` encodes."""
     if path not in _encoders:
         import tiktoken
 
@@ -192,9 +186,12 @@ def fast_encoder(path: str):
         specials = [*c.special]
 
         def encode(text: str) -> bytes:
-            if any(s in text for s in specials):
-                return np.array(own.encode(text, allowed_special="all"), dtype="<u4").tobytes()
-            return own.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            try:
+                if any(s in text for s in specials):
+                    return np.array(own.encode(text, allowed_special="all"), dtype="<u4").tobytes()
+                return own.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            except ValueError:
+                return c.encode(text)
 
         _encoders[path] = encode
     return _encoders[path]
@@ -205,9 +202,9 @@ TIKTOKEN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """Every piece of every document with its place: token_pieces, settled, then pack."""
+    """Every piece of every document with its place: token_pieces, then pack."""
     pieces = token_pieces(docs, capacity, path)
-    return pack(settled(pieces if keep_ids else pieces.drop("ids"), "pieces"), ["doc_id", "piece"], "length", capacity)
+    return pack(pieces if keep_ids else pieces.drop("ids"), "length", capacity)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
