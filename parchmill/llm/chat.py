@@ -8,13 +8,16 @@ becomes one canonical JSON line: sorted keys, no blanks, no escapes but the nece
 Defined results: a call without a result is "unanswered", a result without a call is "orphan" (it gives a record of
 its own), a call whose chain never ends is "cyclic" and has no level; of repeated calls or results of one identifier
 the first by turn, then by content, counts; a predecessor that does not exist is ignored; null identifiers never link
-and give no rows; null or unreadable arguments and unknown tools are invalid, and unreadable arguments stay as text.
+and give no rows; null or unreadable arguments and unknown tools are invalid, and unreadable arguments stay as text. Unreadable is what is not
+JSON (NaN and infinite numbers too), what names a key twice, and what is nested deeper than Python's parser follows; a
+lone surrogate is written as an escape.
 Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +42,7 @@ def fits(value, schema: dict) -> bool:
         allowed = [kinds] if isinstance(kinds, str) else kinds
         if not any(isinstance(value, JSON_TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in allowed):
             return False
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(value == x and isinstance(value, bool) == isinstance(x, bool) for x in schema["enum"]):
         return False
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -57,8 +60,29 @@ def fits(value, schema: dict) -> bool:
     return True
 
 
+SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    text = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _once(pairs: list[tuple[str, object]]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a key stands twice")
+    return out
+
+
+def read_arguments(text: str | None, schema: dict | None) -> tuple[object, bool]:
+    """The value and whether it fits; unreadable text as it is."""
+    try:
+        value = json.loads(text, object_pairs_hook=_once) if text is not None else None
+        canonical(value)  # what can be read must be writable
+        return value, text is not None and schema is not None and fits(value, schema)
+    except (ValueError, RecursionError):
+        return text, False
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -91,11 +115,7 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
                 b = whole.slice(k, 512)
                 valid, records = [], []
                 for call, level, status, name, arguments, content in zip(*(b.column(n).to_pylist() for n in ("call_id", "level", "status", "name", "arguments", "content")), strict=True):
-                    try:
-                        parsed = json.loads(arguments) if arguments is not None else None
-                        good = status != "orphan" and arguments is not None and name in schemas and fits(parsed, schemas[name])
-                    except ValueError:
-                        parsed, good = arguments, False
+                    parsed, good = read_arguments(arguments, None if status == "orphan" else schemas.get(name))
                     valid.append(good)
                     records.append(canonical({"arguments": parsed, "call_id": call, "level": level, "name": name, "result": content, "status": status, "valid": good}))
                 yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("call_id"), b.column("level"), b.column("status"), pa.array(valid, pa.bool_()), pa.array(records, pa.string())], names=["conv_id", "call_id", "level", "status", "valid", "record"])
