@@ -6,7 +6,8 @@ since are skipped when they come up. Ids travel as packed little-endian unsigned
 
 Defined results: null texts count as empty and give no ids; the vocabulary's own special tokens, where their
 string stands in a text, give their single id, as the public library does by default; a word of any length is
-encoded whole, in time n log n. Other columns of the input pass through untouched, whatever their names.
+encoded whole, in time n log n. Other columns of the input pass through untouched, whatever their names; a column of the
+name of the new one is replaced.
 """
 
 from __future__ import annotations
@@ -135,7 +136,8 @@ def codec(path: str) -> Codec:
 def _with_column(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, source: str, of) -> DataFrame:
     """df and one more column, computed from another in small Arrow batches."""
     at = df.columns.index(source)
-    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
+    kept = [k for k, c in enumerate(df.columns) if c != name]
+    schema = T.StructType([*(df.schema.fields[k] for k in kept), T.StructField(name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = of()
@@ -143,7 +145,7 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType,
             for k in range(0, whole.num_rows, ROWS_OUT):
                 part = whole.slice(k, ROWS_OUT)
                 new = pa.array(map(f, part.column(at).to_pylist()), arrow)
-                yield pa.RecordBatch.from_arrays([*part.columns, new], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), new], names=[*(part.schema.names[k] for k in kept), name])
 
     return df.mapInArrow(run, schema)
 

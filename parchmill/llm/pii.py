@@ -334,11 +334,12 @@ def trained(spark: SparkSession, labelled: DataFrame | None = None, limit: int =
 
 
 def find_spans(docs: DataFrame, text: str = "text", out: str = "pii", mask: str | None = None, field: Field | None = None) -> DataFrame:
-    """docs with the spans of `text` as an array of (kind, start, end), and with its masked form in the column `mask`."""
+    """docs with the spans of `text` as an array of (kind, start, end), and with its masked form in the column `mask`; columns
+    of these names are replaced."""
     model = field or trained(docs.sparkSession)
     at = docs.columns.index(text)
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType())]))
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name != mask), T.StructField(out, span), *([T.StructField(mask, T.StringType())] if mask else [])])
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name not in (mask, out)), T.StructField(out, span), *([T.StructField(mask, T.StringType())] if mask else [])])
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +348,7 @@ def find_spans(docs: DataFrame, text: str = "text", out: str = "pii", mask: str
                 b = whole.slice(k, 512)
                 texts = b.column(at).to_pylist()
                 spans = all_spans(texts, model)
-                kept = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n != mask]
+                kept = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n not in (mask, out)]
                 extra = [(out, pa.array([[{"kind": x, "start": a, "end": c, "base": d} for x, a, c, d in s] for s in spans], arrow))]
                 extra += [(mask, pa.array([masked(t, s) for t, s in zip(texts, spans, strict=True)], pa.string()))] if mask else []
                 yield pa.RecordBatch.from_arrays([c for _, c in kept + extra], names=[n for n, _ in kept + extra])

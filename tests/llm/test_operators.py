@@ -307,3 +307,50 @@ def test_empty_tables(spark, nothing):
     assert html.extract_text(none("page_id long, url string, html string")).count() == 0
     assert urls.filter_urls(none("page_id long, url string"), none("rule string, verdict string")).count() == 0
     assert warc.write_archives(none("page_id long, url string, html string"), scratch_path(spark, "warc")).count() == 0
+
+
+def test_packing_of_long_blanks_repeated_rows_and_clashing_names(spark, library):
+    texts = [" " * 1_000_000, "a b", "a b", None, "x" * 3000]
+    docs = spark.createDataFrame([(None, t, "en", None, 0) for t in texts], SCHEMA)
+    got = packing.pack_documents(docs).collect()
+    assert sum(r.length for r in got) == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts)
+    ids = [*library.encode(texts[0], add_special_tokens=False).ids, 2]
+    assert len(ids) == 1_000_001 and zlib.crc32(struct.pack("<1024I", *ids[-1024:])) in {r.ids_crc32 for r in got}
+    pieces = spark.createDataFrame([(k, 1 + k % 9) for k in range(300)] + [(None, 3)] * 50, "row long, length long")
+    for c in ("number", "group", "rank", "sequence_id", "offset", "before", "inside", "a.b"):
+        pieces = pieces.withColumn(c, F.lit(c))
+    out = packing.pack(pieces, capacity=10).collect()
+    assert sorted(out[0].asDict()) == sorted(pieces.columns) and len(out) == 350 and {r["number"] for r in out} == {"number"}
+    places = {}
+    for r in out:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        ends = [a + b for a, b in sorted(own)]
+        assert [0, *ends[:-1]] == [a for a, _ in sorted(own)] and ends[-1] <= 10
+
+
+def test_chat_arguments_that_cannot_be_read():
+    any_ = {"type": ["object", "array", "number"]}
+    read = lambda text, schema=any_: chat.read_arguments(text, schema)
+    assert read(r'{"a": "\ud800"}') == ({"a": "\ud800"}, True) and chat.canonical({"a": "\ud800é"}) == '{"a":"\\ud800é"}'
+    for text in ["[" * 100_000 + "]" * 100_000, "[" * 900 + "NaN" + "]" * 900, '{"a": NaN}', "[Infinity]", "1e999", '{"a": 1, "a": 2}', "{", "", "﻿{}"]:
+        assert read(text) == (text, False)
+    assert read(None) == (None, False) and read("{}", None) == ({}, False)
+    assert [read(t, {"enum": [1]})[1] for t in ("true", "1", "1.0", "2")] == [False, True, True, False]
+
+
+def test_chat_of_empty_tables_nulls_and_clashing_names(spark):
+    calls, results = "conv_id long, call_id string, turn long, after string, name string, arguments string", "conv_id long, call_id string, turn long, content string"
+    none = spark.createDataFrame([], calls), spark.createDataFrame([], results)
+    assert chat.link_tools(*none, chat.SCHEMAS).count() == 0
+    turns = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", None), (2, 0, None, "x"), (None, 0, "user", "x"), (1, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    got = chat.link_tools(*(t.withColumn("level", F.lit("x")).withColumn("_call", F.lit("x")) for t in chat.turns_as_tools(turns)), chat.SCHEMAS).collect()
+    assert [(r.conv_id, r.call_id, r.level, r.status, r.valid) for r in got] == [(1, "1:0", 0, "linked", False)]
+
+
+def test_columns_of_the_new_names_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b", "old"), (2, None, None)], "doc_id long, text string, token_ids string")
+    coded = bpe.bpe_encode(docs)
+    assert coded.columns == ["doc_id", "text", "token_ids"] and [len(r.token_ids) for r in coded.collect()] == [8, 0]
+    found = pii.find_spans(docs.withColumnRenamed("token_ids", "pii").withColumn("masked", F.lit(0)), mask="masked")
+    assert found.columns == ["doc_id", "text", "pii", "masked"] and [r.masked for r in found.collect()] == ["a b", None]
