@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writing, _writers = threading.Lock(), [0, "false"]
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -33,9 +37,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder that all executors share: the one the session names, else (tests, one machine) a temporary one."""
+    """A folder that all executors share: the one the session names, else (tests, one machine) a temporary one. On a
+    cluster a session without one is an error, for executors do not see each other's temporary folders."""
     shared = spark.conf.get(CHECKPOINT_KEY, None)
     if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="parchmill-")
         spark.conf.set(CHECKPOINT_KEY, shared)
         spark.sparkContext.setCheckpointDir(shared)
@@ -47,18 +55,31 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """The setting is the session's; the first of several threads sets it and the last one restores it."""
+    with _writing:
+        if not _writers[0]:
+            _writers[1] = spark.conf.get(CLEAN_KEY, "false")
+            spark.conf.set(CLEAN_KEY, "true")
+        _writers[0] += 1
+    try:
+        yield
+    finally:
+        with _writing:
+            _writers[0] -= 1
+            if not _writers[0]:
+                spark.conf.set(CLEAN_KEY, _writers[1])
+
+
 def settled(df: DataFrame, what: str = "step") -> DataFrame:
     """Write the rows to the shared folder and read them back. This cuts the lineage, so a lost executor costs
     a reread and never a recomputation, and later steps see the same rows each time they look. What the write
     shuffled is of no more use then, and Spark is told to drop it at once."""
     spark = df.sparkSession
     path = scratch_path(spark, what)
-    before = spark.conf.get(CLEAN_KEY, "false")
-    spark.conf.set(CLEAN_KEY, "true")
-    try:
+    with _shuffles_dropped(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEAN_KEY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out
