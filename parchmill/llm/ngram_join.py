@@ -96,8 +96,10 @@ def common_tokens(docs: DataFrame, size: int, percent: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["piece", "packed"])
 
     table = np.zeros((1 << TABLE_BITS) // 8, dtype=np.uint8)
-    for r in pieces.mapInArrow(pack, "piece int, packed binary").toLocalIterator():  # at most the table
+    packed = settled(pieces.mapInArrow(pack, "piece int, packed binary"), "common")
+    for r in packed.toLocalIterator():  # at most the table
         table[r["piece"] * width // 8 :][: width // 8] = np.frombuffer(bytes(r["packed"]), dtype=np.uint8)
+    discard(packed)
     return table
 
 
@@ -216,6 +218,7 @@ def _linked(pairs: DataFrame, own: DataFrame, rows: DataFrame, size: int, percen
 
     held = own.select("doc", "n", "sketch").dropDuplicates(["doc"])
     side = lambda k: held.select(F.col("doc").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+    wanted = pairs
     pairs = settled(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(near, "a long, b long"), "near")
     both, *used = _with_texts(pairs, rows)
 
@@ -243,7 +246,7 @@ def _linked(pairs: DataFrame, own: DataFrame, rows: DataFrame, size: int, percen
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["a", "b"])
 
     links = settled(both.mapInArrow(verify, "a long, b long"), "links")
-    discard(pairs, *used)
+    discard(wanted, pairs, *used)
     return links
 
 
@@ -295,7 +298,9 @@ def _in_large_buckets(named: DataFrame, links: DataFrame, own: DataFrame, rows:
     near = apart.where("near").select(F.col("doc").alias("a"), F.col("lead").alias("b"))
     labels = connected_components(links.select("a", "b").union(near), "a", "b")
     met = settled(differences.candidates(differences.buckets(apart, labels), percent), "met")
-    return near.union(_linked(met, own, rows, size, percent))
+    found = settled(near.union(_linked(met, own, rows, size, percent)), "links")
+    discard(apart)
+    return found
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,19 +308,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     sets of `size`-word shingles, and a component is named by its least id."""
     rows = _texts(docs, key, text)
     signed = settled(_signed(rows, common_tokens(rows, size, percent), size, percent), "signed")
-    copies = settled(signed.where("digest is not null and doc is not null").groupBy("digest").agg(F.min("doc").alias("rep")), "copies")
-    own = settled(signed.where("digest is not null").join(copies, "digest").where("doc = rep").select("doc", "n", "p", "sketch", "sigs"), "own")
+    named = settled(signed.select("doc", "n", "digest"), "named")
+    copies = settled(named.where("digest is not null and doc is not null").groupBy("digest").agg(F.min("doc").alias("rep")), "copies")
+    own = settled(signed.join(copies, "digest").where("doc = rep").select("doc", "n", "p", "sketch", "sigs"), "own")
+    discard(signed)
     index = own.select(F.explode("sigs").alias("sig"), "doc", "n", "p")
-    buckets = index.groupBy("sig").agg(F.min("doc").alias("lead"), F.max("doc").alias("_last"), F.count("*").alias("c")).where("lead < _last").drop("_last")
-    shared = settled(index.join(settled(buckets, "buckets"), "sig"), "shared")
+    buckets = settled(index.groupBy("sig").agg(F.min("doc").alias("lead"), F.max("doc").alias("_last"), F.count("*").alias("c")).where("lead < _last").drop("_last"), "buckets")
+    shared = settled(index.join(buckets, "sig"), "shared")
+    discard(buckets)
     links = _linked(settled(_leaders(shared, own, percent), "pairs"), own, rows, size, percent)
     members = shared.select("sig", "doc", "n", "p", "c")
     links = links.union(_linked(settled(_in_small_buckets(_named(members, links), percent), "pairs"), own, rows, size, percent))
     links = links.union(_in_large_buckets(_named(members.where(F.col("c") > SMALL_BUCKET), links), links, own, rows, size, percent))
     labels = connected_components(links, "a", "b").withColumnRenamed("node", "rep")
-    named = settled(copies.join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "components")
-    discard(shared, own)
-    out = signed.select("doc", "n", "digest").join(named, "digest", "left")
+    components = settled(copies.join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "components")
+    discard(shared, own, copies)
+    out = named.join(components, "digest", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.expr("if(doc is null, null, coalesce(component_id, doc))").alias("component_id"))
 
 
