@@ -194,16 +194,16 @@ CITED = rf"(?i)\b(?:{KINDS})s?\s+(?:{NUMBER})(?:\s*(?:,|and|or|to|-|–|&)\s*\d[
 
 
 def references(parts: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, paragraph, kind, number): every section that a paragraph cites; "4 and 6-8" gives 4, 6, 7 and 8, a range at
-    most MOST_IN_RANGE numbers."""
-    cited = parts.select(doc, F.col("id").alias("paragraph"), F.explode(F.regexp_extract_all("text", F.lit(CITED), F.lit(0))).alias("cited"))
-    split = cited.select(doc, "paragraph", F.lower(F.regexp_extract("cited", rf"(?i)^({KINDS})", 1)).alias("kind"), F.regexp_extract_all(F.regexp_replace("cited", rf"(?i)^(?:{KINDS})s?\s+", ""), F.lit(rf"(?i)\d+\s*(?:-|–|to)\s*\d+|(?!and\b|or\b|to\b){NUMBER}"), F.lit(0)).alias("items"))
-    item = split.select(doc, "paragraph", "kind", F.explode("items").alias("item"))
+    """(doc, paragraph, kind, number, opening): every section that a paragraph cites; "4 and 6-8" gives 4, 6, 7 and 8, a range
+    at most MOST_IN_RANGE numbers. opening: only the paragraph's first words cite it, as headings do."""
+    cited = parts.select(doc, F.col("id").alias("paragraph"), F.col("text").rlike(rf"^(?:{CITED})").alias("starts"), F.posexplode(F.regexp_extract_all("text", F.lit(CITED), F.lit(0))).alias("at", "cited"))
+    split = cited.select(doc, "paragraph", (F.col("starts") & (F.col("at") == 0)).alias("opening"), F.lower(F.regexp_extract("cited", rf"(?i)^({KINDS})", 1)).alias("kind"), F.regexp_extract_all(F.regexp_replace("cited", rf"(?i)^(?:{KINDS})s?\s+", ""), F.lit(rf"(?i)\d+\s*(?:-|–|to)\s*\d+|(?<![A-Za-z0-9])(?!and\b|or\b|to\b){NUMBER}(?![A-Za-z])"), F.lit(0)).alias("items"))
+    item = split.select(doc, "paragraph", "opening", "kind", F.explode("items").alias("item"))
     low, high = F.regexp_extract("item", r"(?i)^(\d+)\s*(?:-|–|to)\s*\d+$", 1), F.regexp_extract("item", r"(?i)^\d+\s*(?:-|–|to)\s*(\d+)$", 1)
     is_range = low != ""
     lo, hi = low.try_cast("bigint"), high.try_cast("bigint")
     numbers = F.when(is_range & (hi >= lo), F.transform(F.sequence(lo, F.least(hi, lo + (MOST_IN_RANGE - 1))), lambda x: x.cast("string"))).otherwise(F.array(F.regexp_replace("item", r"[.,]+$", "")))
-    return item.select(doc, "paragraph", "kind", F.explode(numbers).alias("number")).distinct()
+    return item.select(doc, "paragraph", "kind", F.explode(numbers).alias("number"), "opening").groupBy(doc, "paragraph", "kind", "number").agg(F.bool_and("opening").alias("opening"))
 
 
 def resolved(refs: DataFrame, names: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -213,7 +213,13 @@ def resolved(refs: DataFrame, names: DataFrame, doc: str = "doc_id") -> DataFram
     b = known.select(doc, F.col("alias").alias("_a2"), F.col("ordinal").alias("_o2"), F.col("ambiguous").alias("_m2")).withColumnRenamed(doc, "_d2")
     body = F.col("kind").isin("section", "clause", "article")
     out = a.join(b, (F.col(doc) == F.col("_d2")) & (F.concat(F.lit("number:"), F.lower("number")) == F.col("_a2")) & body & F.col("ambiguous").isNull(), "left")
-    return out.select(doc, "paragraph", "kind", "number", F.coalesce("ordinal", "_o2").alias("ordinal"), F.coalesce("ambiguous", "_m2", F.lit(False)).alias("ambiguous"))
+    return out.select(doc, "paragraph", "kind", "number", "opening", F.coalesce("ordinal", "_o2").alias("ordinal"), F.coalesce("ambiguous", "_m2", F.lit(False)).alias("ambiguous"))
+
+
+def without_own_headings(refs: DataFrame, secs: DataFrame, parts: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Resolved references without the headings that name the very section they open."""
+    owners = secs.select(doc, F.col("ordinal").alias("_own"), F.explode("paragraphs").alias("index")).join(parts.select(doc, "index", F.col("id").alias("paragraph")), [doc, "index"])
+    return refs.join(owners.select(doc, "paragraph", "_own"), [doc, "paragraph"], "left").where("not (opening and ordinal <=> _own)").drop("_own", "opening")
 
 
 def reference_status(refs: DataFrame, doc: str = "doc_id") -> DataFrame:
