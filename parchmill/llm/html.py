@@ -1,25 +1,31 @@
 """Main text of web pages by tag-path ratios.
 
 Every text block has a root-to-leaf tag path. Per path a page's text length, punctuation and number of blocks are
-added up; length and punctuation per block are the path's two ratios. They are fused, smoothed over the page (a path
-lends weight to the paths of the same container: a headline to its paragraphs and back), and containers whose
-fused ratio reaches a share of the page's best are content. Links weigh nothing, and parts that a page marks as
-something else (menus, forms, adverts, comments by tag, class, id or role) never compete.
+added up; length and punctuation per block are the path's two ratios. They are fused into one figure a path, smoothed over
+the paths of the same container (a headline borrows from its paragraphs), and the paths whose figure reaches a share of
+the page's best are content. Links weigh nothing. A class or id made of words such as "ad" or "comments" lowers the figure of
+the paths below it a great deal, one that only holds such a word ("related-work") a little; neither decides alone. Only what
+HTML itself marks as something else (nav, footer, aside, form, scripts, hidden parts, such roles) never competes.
+
+Paths are nodes of a tree that is built as the page is read, so a page costs time in proportion to its length however
+deep its elements nest.
 
 Defined results: null or empty html gives empty text; unclosed, cut-off and wrongly nested markup is read as far as
-it goes; pages of any length are read whole; repeated rows give repeated results.
+it goes; pages of any length are read whole; repeated rows give repeated results; of paths with equal figures all are kept; a
+column of the output's name is replaced, others are kept whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parchmill.session import read_table
 
@@ -30,31 +36,76 @@ SILENT = frozenset("script style noscript template iframe object svg math canvas
 CONTAINERS = frozenset("html body article main section div td center".split())
 #: Parts that are not the article, whatever they hold.
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
-ASIDE_WORDS = re.compile(
-    r"(?:^|(?<!\bhas)(?<!\bwith)(?<!\bno)(?<!\bwithout)[\s_-])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|menu|navbar|nav|navigation|breadcrumbs?|pagination|pager|sidebar|side|aside|widget|footer|masthead|site-?header|topbar|comments?|commentlist|discussion|disqus|respond|replies|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|skip|hidden)(?:$|[\s_-])",
+ASIDE_WORD = re.compile(
+    r"ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|menu|navbar|nav|navigation|breadcrumbs?|pagination|pager|sidebar|side|aside|widget|footer|masthead|siteheader|topbar|comments?|commentlist|discussion|disqus|respond|replies|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|skip|hidden",
     re.IGNORECASE,
 )
+#: Words of class names that say nothing about the matter.
+NEUTRAL_WORD = re.compile(r"box|block|bar|list|container|wrapper|wrap|section|area|top|bottom|left|right|links?|items?|inner|outer|site|page|header|unit|slot|form|\d*", re.IGNORECASE)
+#: What a name made of such words, and what one that only holds one, leaves of the figures below it.
+ASIDE_WEIGHT, HINT_WEIGHT = 0.01, 0.5
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 SPACE = re.compile(r"\s+")
 #: The weight that an element named for content lends to the ratios below it.
 CONTENT_WEIGHT = {"article": 4.0, "main": 4.0}
-#: Containers of at least this share of the best fused ratio are content.
-SHARE = 0.1
+#: Paths of at least this share of the best figure are content; what a path borrows from its container's best.
+SHARE, BORROWED = 0.1, 0.3
+LISTS = frozenset("ul ol menu dl table select".split())
 #: An open element of the second kind ends where one of the first begins.
 ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+def name_weight(named: str) -> float:
+    """What the words of an element's class and id leave of the figures below it."""
+    weight = 1.0
+    for token in named.split():
+        words = [w for w in re.split(r"[_-]+", token) if w]
+        if len(words) > 1 and words[0].lower() in ("has", "with", "no", "without"):
+            continue
+        aside = [bool(ASIDE_WORD.fullmatch(w)) for w in words]
+        if any(aside):
+            weight = min(weight, ASIDE_WEIGHT if all(a or NEUTRAL_WORD.fullmatch(w) for a, w in zip(aside, words, strict=True)) else HINT_WEIGHT)
+    return weight
+
+
+class Path:
+    """A root-to-leaf tag path: what its steps say of it, and the figures of its blocks."""
+
+    __slots__ = ("below", "container", "content", "count", "length", "linked", "marks", "weight")
+
+    def __init__(self, above: Path | None = None, tag: str = "", named: str = ""):
+        self.below: dict[tuple[str, str], Path] = {}
+        content = CONTENT_WEIGHT.get(tag, 1.0)
+        self.content = max(above.content, content) if above else content
+        plain = tag in ("html", "body", "main", "article") or not named
+        self.weight = (above.weight if above else 1.0) * (1.0 if plain else name_weight(named))
+        opens = content > 1 or (tag in CONTAINERS and not (above and above.content > 1))
+        self.container: Path = self if opens or above is None else above.container
+        self.count = self.length = self.marks = self.linked = 0
+
+    def step(self, tag: str, named: str) -> Path:
+        found = self.below.get((tag, named))
+        if found is None:
+            found = self.below[tag, named] = Path(self, tag, named)
+        return found
+
+    def fused(self) -> float:
+        return self.content * (self.length / self.count) * (1 + self.marks / self.count) * self.count**0.5
+
+
 class Blocks(HTMLParser):
     """Text blocks in page order: (path, text, letters of it inside links). Blocks of set-aside parts are not kept."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, bool]] = []  # tag, step of the path, set aside
-        self.blocks: list[tuple[tuple[str, ...], str, int]] = []
+        self.open: list[tuple[str, Path, bool]] = []  # tag, path, set aside
+        self.count: Counter[str] = Counter()
+        self.root = Path()
+        self.blocks: list[tuple[Path, str, int]] = []
         self.text: list[str] = []
         self.linked = 0
-        self.at: tuple[str, ...] | None = None
+        self.at: Path | None = None
 
     def flush(self) -> None:
         if self.text:
@@ -64,8 +115,10 @@ class Blocks(HTMLParser):
             self.text, self.linked, self.at = [], 0, None
 
     def _close_to(self, k: int) -> None:
-        if any(t in BLOCKS for t, _, _ in self.open[k:]):
+        ends = [t for t, _, _ in self.open[k:]]
+        if any(t in BLOCKS for t in ends):
             self.flush()
+        self.count.subtract(ends)
         del self.open[k:]
 
     def handle_starttag(self, tag, attrs):
@@ -77,36 +130,31 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         given = {k: v or "" for k, v in attrs}
-        named = f"{given.get('class', '')} {given.get('id', '')}"
-        inside_article = any(t in CONTENT_WEIGHT for t, _, _ in self.open)
+        above, off = (self.open[-1][1], self.open[-1][2]) if self.open else (self.root, False)
+        named = f"{given.get('class', '')} {given.get('id', '')}".strip()
         off = (
-            bool(self.open and self.open[-1][2])
+            off
             or tag in ASIDE_TAGS
             or tag in SILENT
-            or (tag == "header" and not inside_article)
+            or (tag == "header" and above.content == 1)
             or "hidden" in given
             or given.get("aria-hidden") == "true"
             or given.get("role", "").lower() in ASIDE_ROLES
-            or (tag not in ("html", "body", "main", "article") and bool(ASIDE_WORDS.search(named)))
-            or (tag == "article" and any(ASIDE_WORDS.fullmatch(w) for w in named.split()))
+            or (tag == "article" and any(ASIDE_WORD.fullmatch(w) for w in named.split()))
         )
-        self.open.append((tag, f"{tag}.{named.split()[0]}" if named.strip() else tag, off))
+        self.count[tag] += 1
+        self.open.append((tag, above if off else above.step(tag, named), off))
 
     def _imply(self, tag: str) -> None:
-        if tag in ENDED_BY:
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] in ENDED_BY[tag]:
-                    self._close_to(k)
-                    break
-                if self.open[k][0] in ("ul", "ol", "menu", "dl", "table", "select"):
-                    break
-        else:
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] == "p":
-                    self._close_to(k)
-                    break
-                if self.open[k][0] in BLOCKS:
-                    break
+        ended = ENDED_BY.get(tag, ("p",))
+        if not any(self.count[t] for t in ended):
+            return
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] in ended:
+                self._close_to(k)
+                break
+            if self.open[k][0] in (LISTS if tag in ENDED_BY else BLOCKS):
+                break
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -116,6 +164,8 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.flush()
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 self._close_to(k)
@@ -129,41 +179,28 @@ class Blocks(HTMLParser):
         if self.at is None:
             if not data.strip():
                 return
-            self.at = tuple(s for _, s, _ in self.open)
+            self.at = self.open[-1][1] if self.open else self.root
         self.text.append(data)
-        if any(t == "a" for t, _, _ in self.open):
+        if self.count["a"]:
             self.linked += len(data.strip())
 
 
-def container_of(path: tuple[str, ...]) -> tuple[str, ...]:
-    """A path up to its innermost element named for content, else up to its innermost container."""
-    for k in range(len(path), 0, -1):
-        if path[k - 1].split(".")[0] in CONTENT_WEIGHT:
-            return path[:k]
-    for k in range(len(path), 0, -1):
-        if path[k - 1].split(".")[0] in CONTAINERS:
-            return path[:k]
-    return ()
-
-
-def content_paths(blocks: list[tuple[tuple[str, ...], str, int]]) -> set[tuple[str, ...]]:
-    """The paths whose smoothed, fused ratio reaches the threshold."""
-    length: dict[tuple[str, ...], float] = defaultdict(float)
-    marks: dict[tuple[str, ...], float] = defaultdict(float)
-    count: dict[tuple[str, ...], int] = defaultdict(int)
+def content_paths(blocks: list[tuple[Path, str, int]]) -> set[Path]:
+    """The paths whose smoothed, fused figure reaches the threshold. A path of links borrows only inside a part that is named
+    for content."""
+    paths: dict[Path, None] = {}
     for path, text, linked in blocks:
-        length[path] += max(0, len(text) - linked)
-        marks[path] += len(PUNCTUATION.findall(text)) if 2 * linked <= len(text) else 0
-        count[path] += 1
-    fused: dict[tuple[str, ...], float] = {}
-    for path, n in count.items():
-        weight = max([CONTENT_WEIGHT.get(s.split(".")[0], 1.0) for s in path], default=1.0)
-        fused[path] = weight * (length[path] / n) * (1 + marks[path] / n) * n**0.5
-    smooth: dict[tuple[str, ...], float] = defaultdict(float)
-    for path, f in fused.items():
-        smooth[container_of(path)] += f
-    best = max(smooth.values(), default=0.0)
-    return {p for p in fused if smooth[container_of(p)] >= SHARE * best} if best > 0 else set(fused)
+        paths[path] = None
+        path.length += max(0, len(text) - linked)
+        path.marks += len(PUNCTUATION.findall(text)) if 2 * linked <= len(text) else 0
+        path.linked += linked
+        path.count += 1
+    best: dict[Path, float] = defaultdict(float)
+    for p in paths:
+        best[p.container] = max(best[p.container], p.weight * p.fused())
+    smooth = {p: p.weight * (p.fused() + (BORROWED * best[p.container] if p.content > 1 or p.length >= p.linked else 0)) for p in paths}
+    top = max(smooth.values(), default=0.0)
+    return {p for p, x in smooth.items() if x >= SHARE * top} if top > 0 else set(paths)
 
 
 def main_text(html: str | None) -> str:
@@ -182,19 +219,18 @@ def main_text(html: str | None) -> str:
 
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
-    """pages with the main text of `html` in place of it."""
-    from pyspark.sql import types as T
-
-    source = pages.select(*[F.col(c) for c in pages.columns if c != html], F.col(html).alias("_html"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField(out, T.StringType())])
+    """pages with the main text of `html` in place of it, as the last column."""
+    kept = [k for k, c in enumerate(pages.columns) if c not in (html, out)]
+    at = pages.columns.index(html)
+    schema = T.StructType([*(pages.schema.fields[k] for k in kept), T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(map(main_text, b.column(b.num_columns - 1).to_pylist()), pa.string())], names=[*b.schema.names[:-1], out])
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(map(main_text, b.column(at).to_pylist()), pa.string())], names=[*(b.schema.names[n] for n in kept), out])
 
-    return source.mapInArrow(run, schema)
+    return pages.mapInArrow(run, schema)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
