@@ -404,7 +404,7 @@ def w4(spark, d):
     return retention.rotated(T(spark, d, "documents"), "source", ["doc_id"], "n_chars", 20000, 5).select("source", "doc_id")
 
 
-@query("w5_rate_limit", """WITH RECURSIVE h AS (SELECT CAST(user_id AS VARCHAR) AS client, event_type AS bucket, event_id AS id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_ms(ts), event_id) AS r FROM events),
+@query("w5_rate_limit", """WITH RECURSIVE h AS (SELECT CAST(user_id AS VARCHAR) AS client, event_type AS bucket, event_id AS id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) // 1000, event_id) AS r FROM events),
 w AS (SELECT client, bucket, id, r, ms, ms AS start, 1 AS n FROM h WHERE r = 1
       UNION ALL SELECT h.client, h.bucket, h.id, h.r, h.ms, CASE WHEN h.ms >= w.start + 86400000 THEN h.ms ELSE w.start END, CASE WHEN h.ms >= w.start + 86400000 THEN 1 ELSE w.n + 1 END FROM w JOIN h ON h.client = w.client AND h.bucket = w.bucket AND h.r = w.r + 1)
 SELECT client, bucket, id, n > 2 AS refused, CASE WHEN n > 2 THEN (start + 86400000 - ms + 999) // 1000 ELSE 0 END AS retry_after FROM w""")
