@@ -21,8 +21,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind."""
-    found = pii.find_spans(docs, "text", "_pii", mask="_masked")
-    return found.withColumn("n_chars", F.when(F.size("_pii") > 0, F.length("_masked")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).withColumn("text", F.col("_masked")).select(*docs.columns)
+    spans, masked = (f"{name}{'_' * max(map(len, docs.columns))}" for name in ("spans", "masked"))  # longer than any name there is
+    found = pii.find_spans(docs, "text", spans, mask=masked)
+    counted = F.when(F.size(spans) > 0, F.length(masked)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    new = {"text": F.col(masked), "n_chars": counted}
+    return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
