@@ -65,6 +65,21 @@ def t10(spark, d):
 FRAGMENTS = [(1, 1, "The duties"), (1, 2, "go on and"), (1, 3, "end here."), (1, 4, "then again"), (2, 1, "a"), *((2, k, "b") for k in range(2, 9)), (3, 1, "Done;"), (3, 2, "(so it is)"), (3, 3, "Next")]
 
 
+#: (subject, the other party) for a reader whose own names are Ownco and Ownco Money.
+SUBJECTS = [
+    ("Plain name", "Plain name"), ("Fwd: Air Nine <> Ownco", "Air Nine"), ("Fwd: Ownco - Reed bank - Introduction - Sponsorship", "Reed bank"), ("Fwd: Ownco | Netty Follow Up", "Netty"), ("Fwd: CALL: Ownco x Pisco", "Pisco"), ("Fwd: Moor Ownco", "Moor Ownco"),
+    ("Fwd: slate stack - Ownco", "slate stack"), ("Fwd: Updated invitation: Ownco <> Nyma @ Wed May 13, 2026 7:30pm - 8:00pm", "Nyma"), ("Fwd: Zed | Ownco Connect: Ann<>Neil", "Zed"), ("Re: Fwd: Ownco x Beam Pay - follow up", "Beam Pay"), ("RE: NDA - Ownco and Acre Tech", "Acre Tech"),
+    ("Fwd: Ownco <> Ownco Money", "Ownco <> Ownco Money"), ("Cover <> Ownco <> Beam Pay", "Cover"), ("Owncolike Inc", "Owncolike Inc"), ("Fwd: Owncolike <> Ownco", "Owncolike"), ("Fwd: Cover – Ownco", "Cover"), ("Fwd: Stark Works / Ownco", "Stark Works"),
+    ("NDA between Acre and Globe", "NDA between Acre and Globe"), ("Ownco|Pisco", "Pisco"), ("vs Ownco", "vs Ownco"), ("Fwd: Ownco <>", "Ownco <>"), ("Ownco", "Ownco"), ("Fwd:", ""), ("Re: Re: Fwd:", ""), ("", ""), ("   ", ""), (None, ""),
+]
+
+
+@query("t13_subject_party", values("subject VARCHAR, party VARCHAR", SUBJECTS))
+def t13(spark, d):
+    rows = spark.createDataFrame([s[:1] for s in SUBJECTS], "subject string")
+    return rows.withColumn("party", X.subject_party(F.col("subject"), ["Ownco", "Ownco Money"]))
+
+
 @query("t18_fragments", values("doc_id BIGINT, index INTEGER, members VARCHAR, text VARCHAR", [(1, 1, "1,2,3", "The duties go on and end here."), (1, 4, "4", "then again"), (2, 1, "1,2,3,4,5,6", "a b b b b b"), (2, 7, "7,8", "b b"), (3, 1, "1", "Done;"), (3, 2, "2", "(so it is)"), (3, 3, "3", "Next")]))
 def t18(spark, d):
     return S.merged_fragments(spark.createDataFrame(FRAGMENTS, "doc_id long, index int, text string")).select("doc_id", "index", joined("members"), "text")
