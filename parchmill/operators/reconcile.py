@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmill.operators.graph import connected_components
-from parchmill.session import settled
+from parchmill.session import discard, settled
 
 
 def reconciled(app: DataFrame, other: DataFrame, key: str, fields: list[str], link: str) -> DataFrame:
@@ -47,20 +47,27 @@ def first_sharing(rows: DataFrame, probe: DataFrame, key: str, ident: str, owner
     return probe.join(first, [owner, key])
 
 
-def lineage(artifacts: DataFrame, ident: str, parent: str, order: list[str], doc: str) -> DataFrame:
-    """The forest of versions in depth-first order: (doc, id, depth, path). A parent that is not there makes a root;
-    siblings follow `order`; a cycle's rows, which no root reaches, come last at depth 0. Each round adds a level."""
+def lineage(artifacts: DataFrame, ident: str, parent: str, order: list[str], doc: str, paths: bool = False) -> DataFrame:
+    """The forest of versions: (doc, id, depth, cyclic). A parent that is not there makes a root; a cycle's rows, which no root
+    reaches, have depth 0. Each round doubles the stretch of ancestors that a row has seen, so a chain of n versions takes
+    log n joins. With `paths` also path, which sorts a document's rows depth first and siblings by `order`; a path is as long
+    as its depth, so ask for it only where chains are short."""
     known = artifacts.select(doc, F.col(ident).alias(parent), F.lit(True).alias("_has"))
-    rows = settled(artifacts.join(known, [doc, parent], "left").select(doc, ident, F.when(F.col("_has"), F.col(parent)).alias("up"), F.struct(*order, ident).alias("place")), "versions")
-    level = settled(rows.where("up is null").select(doc, ident, F.lit(0).alias("depth"), F.array("place").alias("path")), "roots")
-    found = level
-    while not level.isEmpty():
-        above = level.select(doc, F.col(ident).alias("up"), F.col("depth").alias("_d"), F.col("path").alias("_p"))
-        level = settled(rows.where("up is not null").join(above, [doc, "up"]).select(doc, ident, (F.col("_d") + 1).alias("depth"), F.concat("_p", F.array("place")).alias("path")), "level")
-        found = found.unionByName(level)
-    found = settled(found, "lineage")
-    lost = rows.join(found.select(doc, ident), [doc, ident], "left_anti").select(doc, ident, F.lit(0).alias("depth"), F.array("place").alias("path"), F.lit(True).alias("cyclic"))
-    return found.withColumn("cyclic", F.lit(False)).unionByName(lost)
+    own = [F.array(F.struct(*order, ident)).alias("path")] if paths else []
+    linked = artifacts.join(known, [doc, parent], "left").select(doc, ident, F.when(F.col("_has"), F.col(parent)).alias("up"), *own)
+    state = settled(linked.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1)), "lineage")
+    longest, stretch = state.groupBy(doc).count().agg(F.max("count")).first()[0] or 0, 1
+    while stretch <= longest and not state.where("up is not null").isEmpty():
+        above = [F.col("path").alias("_path")] if paths else []
+        ahead = state.select(doc, F.col(ident).alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_more"), *above)
+        longer = [F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path")] if paths else []
+        further = state.join(ahead, [doc, "up"], "left").select(doc, ident, F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), *longer)
+        before, state = state, settled(further, "lineage")
+        discard(before)
+        stretch *= 2
+    cyclic = F.col("up").isNotNull()
+    last = [F.when(cyclic, F.slice("path", -1, 1)).otherwise(F.col("path")).alias("path")] if paths else []
+    return state.select(doc, ident, F.when(cyclic, 0).otherwise(F.col("depth")).alias("depth"), cyclic.alias("cyclic"), *last)
 
 
 def missing_on_either(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchmill.session import settled, shuffle_width
+
 
 def oldest_first(rows: DataFrame, owner: str, order: list[str], predicate: Column, confirmed: DataFrame, ident: str, limit: int = 200) -> DataFrame:
     """The first `limit` rows of every owner that fulfil the predicate and are confirmed."""
@@ -23,19 +25,40 @@ def pruned(rows: DataFrame, owner: str, closed: Column, order: list[str], limit:
 
 
 def over_ceiling(rows: DataFrame, closed: Column, order: list[str], ceiling: int) -> DataFrame:
-    """The global ceiling: the oldest closed rows of all owners. One count and a top-k, so no single window over everything."""
+    """The global ceiling: the oldest closed rows of all owners, as many as there are rows above it. Rows are put in ranges of
+    the order and counted; whole ranges go until one must be cut, and only that one is ranked."""
     over = rows.count() - ceiling
-    return rows.where(closed).orderBy(*order).limit(max(0, over))
+    able = rows.where(closed)
+    ranged = settled(able.repartitionByRange(shuffle_width(rows.sparkSession), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_range", (F.lit(over) - before).alias("_due"), "_n").where("_due > 0")  # a row a range
+    whole = ranged.join(F.broadcast(offsets.where("_n <= _due").select("_range")), "_range", "left_semi")
+    cut = ranged.join(F.broadcast(offsets.where("_n > _due").select("_range", "_due")), "_range")
+    part = cut.withColumn("_r", F.row_number().over(Window.partitionBy("_range").orderBy(*order))).where(F.col("_r") <= F.col("_due"))
+    return whole.select(*rows.columns).unionByName(part.select(*rows.columns))
+
+
+def _running(rows: DataFrame, owner: str, order: list[str], size: str) -> DataFrame:
+    """rows with _left and _rank, bytes and rows from each one on to the youngest of its owner. Rows are put in ranges of the
+    order; a range's totals behind it come from one row a (range, owner), and windows run inside these only, so an owner
+    with a great part of all rows is no single task."""
+    ranged = settled(rows.repartitionByRange(shuffle_width(rows.sparkSession), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy(owner, "_range").agg(F.sum(size).alias("_s"), F.count("*").alias("_n"))
+    later = Window.partitionBy(owner).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    behind = totals.select(owner, "_range", F.coalesce(F.sum("_s").over(later), F.lit(0)).alias("_s"), F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_n"))
+    inside = Window.partitionBy(owner, "_range").orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    own = ranged.withColumn("_own", F.sum(size).over(inside)).withColumn("_k", F.count("*").over(inside)).alias("a")
+    both = own.join(behind.alias("b"), F.col(f"a.{owner}").eqNullSafe(F.col(f"b.{owner}")) & (F.col("a._range") == F.col("b._range")))
+    return both.select(*[F.col(f"a.{c}") for c in rows.columns], (F.coalesce("_own", F.lit(0)) + F.col("_s")).alias("_left"), (F.col("_k") + F.col("_n")).alias("_rank"))
 
 
 def rotated(files: DataFrame, owner: str, order: list[str], size: str, target_bytes: int, keep_newest: int) -> DataFrame:
     """What rotation removes: from the oldest on while what is left exceeds the target, never the newest few. The bytes
-    left after a row's removal are the running sum of the younger ones, so removal stops at the first survivor."""
-    by_age = Window.partitionBy(owner).orderBy(*order)
-    younger = by_age.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    newest = Window.partitionBy(owner).orderBy(*[F.desc(c) for c in order])
-    out = files.withColumn("_left", F.sum(size).over(younger)).withColumn("_rank", F.row_number().over(newest))
-    return out.where((F.col("_left") > target_bytes) & (F.col("_rank") > keep_newest)).drop("_left", "_rank")
+    left after a row's removal are the running sum of the younger ones, so removal stops at the first survivor. `order` names
+    a row: equal ones have no order of their own."""
+    out = _running(files, owner, order, size)
+    return out.where((F.col("_left") > target_bytes) & (F.col("_rank") > keep_newest)).select(*files.columns)
 
 
 def most_recent(rows: DataFrame, owner: str, order: list[str], keep: int) -> DataFrame:

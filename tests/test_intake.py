@@ -141,3 +141,39 @@ def test_coverage(spark):
     export = [(1, 1, "a b"), (1, 2, " "), (1, 3, "c"), (2, 2, "end"), (4, 1, "b"), (4, 2, "a")]
     got = {r.doc: (r.verdict, r.first) for r in M.coverage(spark.createDataFrame(source, s), spark.createDataFrame(export, s), "doc").collect()}
     assert {k: tuple(v) for k, v in got.items()} == {1: ("covered", None), 2: ("short", None), 4: ("diverging", 1), 5: ("empty", None)}
+
+
+def test_lineage_of_chains_forks_and_cycles(spark):
+    from parchmill.operators import reconcile
+
+    rows = [(1, k, k - 1 if k else None, "r") for k in range(200)] + [(2, 1, None, "b"), (2, 2, 1, "b"), (2, 3, 1, "a"), (2, 4, 9, "a"), (2, 5, 6, "a"), (2, 6, 5, "a"), (2, 7, 5, "a")]
+    table = spark.createDataFrame(rows, "doc long, id long, up_id long, role string")
+    got = {(r.doc, r.id): (r.depth, r.cyclic) for r in reconcile.lineage(table, "id", "up_id", ["role"], "doc").collect()}
+    assert got == {(1, k): (k, False) for k in range(200)} | {(2, 1): (0, False), (2, 2): (1, False), (2, 3): (1, False), (2, 4): (0, False), (2, 5): (0, True), (2, 6): (0, True), (2, 7): (0, True)}
+    paths = reconcile.lineage(table.where("doc = 2 and id < 5"), "id", "up_id", ["role"], "doc", paths=True).orderBy("path").collect()
+    assert [r.id for r in paths] == [4, 1, 3, 2] and [x.id for x in paths[2].path] == [1, 3]
+
+
+@pytest.mark.parametrize("width", ["3", "50"])
+def test_retention_in_ranges_equals_one_sort(spark, width):
+    from parchmill.operators import retention
+
+    r = random.Random(5)
+    rows = [(k, r.choice(["a", "a", "a", "b", None]), r.randint(1, 50), r.random() < 0.7) for k in range(300)]
+    r.shuffle(rows)
+    table = spark.createDataFrame(rows, "id long, owner string, bytes long, closed boolean")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", width)
+    try:
+        for ceiling in (0, 100, 250, 300, 999):
+            want = [x[0] for x in sorted(rows) if x[3]][: max(0, 300 - ceiling)]
+            assert sorted(x.id for x in retention.over_ceiling(table, F.col("closed"), ["id"], ceiling).collect()) == want
+        gone = []
+        for owner in ("a", "b", None):
+            own = sorted(x for x in rows if x[1] == owner)
+            for k, x in enumerate(own):
+                if sum(y[2] for y in own[k:]) > 500 and len(own) - k > 5:
+                    gone.append(x[0])
+        assert sorted(x.id for x in retention.rotated(table, "owner", ["id"], "bytes", 500, 5).collect()) == sorted(gone)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
