@@ -66,29 +66,22 @@ def band_keys(h: Column) -> Column:
 
 
 def duplicate_pairs(prints: DataFrame, doc: str, party: str, owner: str | None = None) -> DataFrame:
-    """(a, b, similarity), a < b: equal digests under any party, or at most four differing bits under one party. Candidates
-    come from two hash joins, on the digest and on (party, band, key): five bands leave none out. The owner, if any, is
-    part of every key. The party `""` never matches."""
+    """(a, b, similarity), a < b: links from which every duplicate follows. Copies (equal digests under any party) are one row each,
+    from the first of them: a group never turns into its pairs. Different digests with at most four differing bits under one
+    party are one row a pair of digests, from the first document of each there; candidates come from a join on (party, band,
+    key): five bands leave none out. The owner, if any, is part of every key. The party `""` never matches."""
     whose = F.col(owner) if owner else F.lit("")
-    own = prints.select(F.col(doc).alias("a"), whose.alias("o"), F.col(party).alias("p"), "exact", "simhash")
-    other = own.select(F.col("a").alias("b"), "o", "p", F.col("exact").alias("exact2"), F.col("simhash").alias("simhash2"))
-    same = own.join(other.withColumnRenamed("exact2", "exact"), ["o", "exact"]).where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
-    keyed = own.where("p <> '' and simhash is not null").select("*", F.posexplode(band_keys(F.col("simhash"))).alias("band", "key"))
-    keyed2 = other.where("p <> '' and simhash2 is not null").select("*", F.posexplode(band_keys(F.col("simhash2"))).alias("band", "key"))
-    near = keyed.join(keyed2, ["o", "p", "band", "key"]).where("a < b").where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("simhash2"))) <= NEAR_BITS)
-    near = near.where("not (exact <=> exact2)").select("a", "b", similarity(F.col("exact"), F.col("exact2"), F.col("simhash"), F.col("simhash2")).alias("similarity"))
+    own = prints.where("exact is not null").select(F.col(doc).alias("doc"), whose.alias("o"), F.col(party).alias("p"), "exact", "simhash")
+    first = own.groupBy("o", "exact").agg(F.min("doc").alias("a"))
+    same = own.join(first, ["o", "exact"]).where("a < doc").select("a", F.col("doc").alias("b"), F.lit(1.0).alias("similarity"))
+    classes = own.where("p <> '' and simhash is not null").groupBy("o", "p", "exact", "simhash").agg(F.min("doc").alias("a"))
+    keyed = classes.select("*", F.posexplode(band_keys(F.col("simhash"))).alias("band", "key"))
+    other = keyed.select("o", "p", "band", "key", F.col("exact").alias("exact2"), F.col("simhash").alias("simhash2"), F.col("a").alias("b"))
+    near = keyed.join(other, ["o", "p", "band", "key"]).where("a < b and exact <> exact2").where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("simhash2"))) <= NEAR_BITS)
+    near = near.select("a", "b", similarity(F.col("exact"), F.col("exact2"), F.col("simhash"), F.col("simhash2")).alias("similarity"))
     return same.unionByName(near).dropDuplicates(["a", "b"])
 
 
-def all_pairs(prints: DataFrame, doc: str, party: str) -> DataFrame:
-    """The same pairs by comparing everything with everything; a test oracle for small tables."""
-    own = prints.select(F.col(doc).alias("a"), F.col(party).alias("p"), "exact", "simhash")
-    other = prints.select(F.col(doc).alias("b"), F.col(party).alias("p2"), F.col("exact").alias("exact2"), F.col("simhash").alias("simhash2"))
-    s = similarity(F.col("exact"), F.col("exact2"), F.col("simhash"), F.col("simhash2"))
-    near = (F.col("p") == F.col("p2")) & (F.col("p") != "") & F.col("simhash").isNotNull() & F.col("simhash2").isNotNull() & (s >= 1 - NEAR_BITS / 64)
-    return own.join(other, (F.col("a") < F.col("b")) & ((F.col("exact") == F.col("exact2")) | near)).select("a", "b", s.alias("similarity"))
-
-
 def exact_classes(prints: DataFrame, doc: str) -> DataFrame:
     """(doc, first, copies): the earliest document of every digest, by a grouping instead of pairs."""
     first = prints.where("exact is not null").groupBy("exact").agg(F.min(doc).alias("first"), F.count("*").alias("copies"))

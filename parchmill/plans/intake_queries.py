@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchmill.functions import scalar as S
+from parchmill.functions import text as X
 from parchmill.operators import comparison as M
 from parchmill.operators import corpus, dedup
 from parchmill.operators import intake as I
@@ -141,12 +142,11 @@ def t19(spark, d):
     return read_table(spark, d, "conversations").where("text is not null and role is not null").select("conv_id", "turn", F.array_join(M.nested_strings(value), "|").alias("strings"))
 
 
-@query("j8_all_pairs_oracle", "SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.doc_id < b.doc_id AND replace(lower(trim(regexp_replace(a.text, '\\s+', ' ', 'g'))), 'ß', 'ss') = replace(lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))), 'ß', 'ss') WHERE regexp_matches(a.text, '[\\pL\\pN_]')")
+@query("j8_all_pairs_oracle", """WITH f AS (SELECT doc_id, source, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') AS form FROM documents), e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id WHERE regexp_matches(a.form, '[\\pL\\pN_]'))
+SELECT min(a) AS a, b FROM e GROUP BY b""")
 def j8(spark, d):
-    from parchmill.functions.text import hash_form
-
-    form = hash_form(F.col("text"))
-    prints = read_table(spark, d, "documents").where(F.col("text").rlike(r"[\p{L}\p{N}_]")).select("doc_id", F.lit("").alias("source"), F.sha2(form, 256).alias("exact"), F.lit(None).cast("long").alias("simhash"))
+    form = X.hash_form(F.col("text"))
+    prints = read_table(spark, d, "documents").where(form.rlike(r"(?U)\w")).select("doc_id", F.lit("").alias("source"), F.sha2(form, 256).alias("exact"), F.lit(None).cast("long").alias("simhash"))
     return dedup.duplicate_pairs(prints, "doc_id", "source").select("a", "b")
 
 

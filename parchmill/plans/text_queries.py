@@ -163,7 +163,9 @@ def j4(spark, d):
 PAIR_SQL = "(a.exact = b.exact OR (a.source = b.source AND bit_count(CAST(xor(a.sim, b.sim) AS UBIGINT)) <= 4))"
 
 
-@query("j5_duplicate_pairs", f"WITH {DUCK_BITS} SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN a.exact = b.exact THEN 1.0 ELSE round(1 - bit_count(CAST(xor(a.sim, b.sim) AS UBIGINT)) / 64.0, 4) END AS similarity FROM f a JOIN f b ON a.doc_id < b.doc_id AND {PAIR_SQL}")
+@query("j5_duplicate_pairs", f"""WITH {DUCK_BITS}, c AS (SELECT exact, min(doc_id) AS a FROM f WHERE exact IS NOT NULL GROUP BY 1), k AS (SELECT source, exact, any_value(sim) AS sim, min(doc_id) AS doc_id FROM f WHERE exact IS NOT NULL AND sim IS NOT NULL AND source <> '' GROUP BY 1, 2)
+SELECT a, doc_id AS b, 1.0 AS similarity FROM f JOIN c ON f.exact = c.exact WHERE a < doc_id UNION ALL
+SELECT a.doc_id, b.doc_id, round(1 - bit_count(CAST(xor(a.sim, b.sim) AS UBIGINT)) / 64.0, 4) FROM k a JOIN k b ON a.doc_id < b.doc_id AND a.source = b.source AND a.exact <> b.exact AND bit_count(CAST(xor(a.sim, b.sim) AS UBIGINT)) <= 4""")
 def j5(spark, d):
     return dedup.duplicate_pairs(dedup.fingerprints(spread(spark, d)), "doc_id", "source").withColumn("similarity", F.round("similarity", 4))
 
