@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parchmill.functions.text import hash_form
+from parchmill.session import settled
 
 SHINGLE = 3
 NEAR_BITS = 4
@@ -71,7 +72,7 @@ def duplicate_pairs(prints: DataFrame, doc: str, party: str, owner: str | None =
     party are one row a pair of digests, from the first document of each there; candidates come from a join on (party, band,
     key): five bands leave none out. The owner, if any, is part of every key. The party `""` never matches."""
     whose = F.col(owner) if owner else F.lit("")
-    own = prints.where("exact is not null").select(F.col(doc).alias("doc"), whose.alias("o"), F.col(party).alias("p"), "exact", "simhash")
+    own = settled(prints.where("exact is not null").select(F.col(doc).alias("doc"), whose.alias("o"), F.col(party).alias("p"), "exact", "simhash"), "prints")
     first = own.groupBy("o", "exact").agg(F.min("doc").alias("a"))
     same = own.join(first, ["o", "exact"]).where("a < doc").select("a", F.col("doc").alias("b"), F.lit(1.0).alias("similarity"))
     classes = own.where("p <> '' and simhash is not null").groupBy("o", "p", "exact", "simhash").agg(F.min("doc").alias("a"))
@@ -94,7 +95,7 @@ def earliest_match(prints: DataFrame, doc: str, party: str, owner: str | None =
     Copies are grouped, never paired: the first of a digest is the match of the others, the second that of the first.
     Only different digests of one party meet in the band join."""
     whose = F.col(owner) if owner else F.lit("")
-    own = prints.where("exact is not null").select(F.col(doc).alias("doc"), whose.alias("o"), F.col(party).alias("p"), "exact", "simhash")
+    own = settled(prints.where("exact is not null").select(F.col(doc).alias("doc"), whose.alias("o"), F.col(party).alias("p"), "exact", "simhash"), "prints")
     first = own.groupBy("o", "exact").agg(F.min("doc").alias("first"), F.max("doc").alias("_last")).where("first < _last").drop("_last")
     second = own.join(first, ["o", "exact"]).where("doc > first").groupBy("o", "exact", "first").agg(F.min("doc").alias("second"))
     same = own.join(second, ["o", "exact"]).select("doc", F.when(F.col("doc") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("b"), F.lit(1.0).alias("similarity"))
