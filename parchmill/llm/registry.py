@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from parchmill.llm import bpe, chat, embeddings, exact_dedup, html, merkle, ngram_join, packing, pii, quality, urls, warc
+from parchmill.llm import bpe, chat, embeddings, exact_dedup, html, merkle, negatives, ngram_join, packing, pii, quality, urls, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_html_extraction": html.op9_html_extraction,
     "op10_warc": warc.op10_warc,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_exact_dedup": exact_dedup.op12_exact_dedup,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
@@ -27,6 +28,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filters": urls.OP5_SQL,
     "op7_embedding_near_dedup": embeddings.OP7_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
     "op12_exact_dedup": exact_dedup.OP12_SQL,
     "op13_merkle_manifest": merkle.OP13_SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
