@@ -38,16 +38,20 @@ def s4(spark, d):
     return I.change_token(read_table(spark, d, "orders"), "o_orderdate", F.length("o_orderpriority"))
 
 
-INSERT_SQL = """WITH s AS (SELECT o_custkey AS k, min(o_orderkey) AS id FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), store AS (SELECT k, id, k % 40 AS owner, CASE WHEN id % 10 = 0 THEN 'active' ELSE 'done' END AS status FROM s),
-b AS (SELECT o_custkey AS k, min(o_orderkey) AS id FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1), u AS (SELECT * FROM store UNION ALL SELECT k, id, k % 40, CASE WHEN id % 10 = 0 THEN 'active' ELSE 'done' END FROM b WHERE k NOT IN (SELECT k FROM store))
-SELECT k, id, owner, status FROM u QUALIFY row_number() OVER (PARTITION BY owner ORDER BY id DESC) <= 5 OR status = 'active'"""
+INSERT_SQL = """WITH r AS (SELECT o_custkey AS k, o_orderkey AS id, o_custkey % 40 AS owner, CASE WHEN o_orderkey % 10 = 0 THEN 'active' ELSE 'done' END AS status FROM orders),
+s AS (SELECT * FROM r WHERE id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY id) = 1), n AS (SELECT * FROM r WHERE id % 3 <> 0 AND k NOT IN (SELECT k FROM s) QUALIFY row_number() OVER (PARTITION BY k ORDER BY id) = 1),
+u AS (SELECT *, FALSE AS new FROM s UNION ALL SELECT *, TRUE FROM n), c AS (SELECT *, count(*) OVER (PARTITION BY owner) AS total, row_number() OVER (PARTITION BY owner, new OR status = 'active' ORDER BY id) AS age FROM u)
+SELECT k, id, owner, status, NOT new AND status <> 'active' AND age <= total - 30 AS archived FROM c"""
 
 
 @query("s5_insert", INSERT_SQL)
 def s5(spark, d):
+    schema = "k long, id long, owner long, status string"
     rows = read_table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 40).alias("owner"), F.when(F.col("o_orderkey") % 10 == 0, "active").otherwise("done").alias("status"))
-    store = dedup.latest_by(rows.where("id % 3 = 0").withColumn("_o", -F.col("id")), ["k"], ["_o"]).drop("_o")
-    return L.insert(store, rows.where("id % 3 <> 0"), "k", "owner", ["id"], "status", ["active"], 5)
+    store = L.Store(scratch_path(spark, "store"), schema, "k", "owner", ["id"], "status", ["active"], 30)
+    store.put(rows.where("id % 3 = 0"), 0)
+    store.put(rows.where("id % 3 <> 0"), 1)
+    return store.rows(spark).withColumn("archived", F.lit(False)).unionByName(store.archive(spark).withColumn("archived", F.lit(True)))
 
 
 @query("s6_json_sink", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 0")
@@ -76,8 +80,8 @@ def i5(spark, d):
     table, schema = scratch_path(spark, "ledger"), "user_id long, event_type string"
     write = L.once(table, ["user_id", "event_type"], schema)
     L.drain(stream(spark, d, "events").select("user_id", "event_type"), write)
-    L.drain(stream(spark, d, "events").where("event_id % 2 = 0").select("user_id", "event_type"), lambda batch, k: write(batch, k + 1_000_000))  # all of it known by now
-    return L.read_ledger(spark, table, schema).drop("batch")
+    L.drain(stream(spark, d, "events").where("event_id % 2 = 0").select("user_id", "event_type"), write)  # all of it known by now
+    return L.read_ledger(spark, table, schema)
 
 
 @query("i6_quarantine", """WITH a AS (SELECT user_id AS message, event_id AS moment, CASE event_type WHEN 'error' THEN 'permanent' WHEN 'click' THEN 'transient' ELSE 'free' END AS kind FROM events), r AS (SELECT message, max(moment) AS since FROM a WHERE moment % 50 = 0 GROUP BY 1)
@@ -116,7 +120,7 @@ def i10(spark, d):
 def i11(spark, d):
     table = scratch_path(spark, "timeline")
     L.drain(stream(spark, d, "events").select("event_id", "user_id", "event_type"), L.append(table))
-    return L.read_ledger(spark, table, "event_id long, user_id long, event_type string").drop("batch")
+    return L.read_ledger(spark, table, "event_id long, user_id long, event_type string")
 
 
 def revisions(spark, d):

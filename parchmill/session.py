@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _writing, _writers = threading.Lock(), [0, "false"]
+_own_folders: dict[str, str] = {}
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -44,9 +45,9 @@ def scratch_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="parchmill-")
-        spark.conf.set(CHECKPOINT_KEY, shared)
-        spark.sparkContext.setCheckpointDir(shared)
+        shared = _own_folders.setdefault(spark.sparkContext.applicationId, "")
+        if not shared:
+            shared = _own_folders[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="parchmill-")
     return shared.rstrip("/")
 
 

@@ -23,7 +23,7 @@ def test_a_replayed_batch_changes_nothing(spark):
     write(first, 0)
     write(second, 1)
     before = sorted(map(tuple, L.read_ledger(spark, table, schema).collect()))
-    assert before == [(1, "a", 0), (1, "b", 1), (2, "a", 0), (2, "c", 1)]
+    assert before == [(1, "a"), (1, "b"), (2, "a"), (2, "c")]
     write(second, 1)
     write(first, 0)
     assert sorted(map(tuple, L.read_ledger(spark, table, schema).collect())) == before
@@ -36,16 +36,67 @@ def test_a_stream_that_starts_again_goes_on(spark, tmp_path):
     for k in (0, 5):
         spark.range(k, k + 10).select(F.col("id").alias("message")).coalesce(1).write.mode("append").parquet(source)
         L.drain(spark.readStream.schema(schema).parquet(source), L.once(table, ["message"], schema), checkpoint)
-    rows = L.read_ledger(spark, table, schema).collect()
+    rows = L.read_parts(spark, table, schema).collect()
     assert sorted(r.message for r in rows) == list(range(15)) and {r.batch for r in rows} == {0, 1}
 
 
-def test_insert_keeps_protected_rows_and_the_limit(spark):
+@pytest.mark.parametrize("exact", [True, False])
+def test_two_drains_into_one_table_keep_all_rows(spark, tmp_path, exact):
+    """Each stream counts its batches from 0; neither writes over the other's parts."""
+    table, schema = scratch_path(spark, "ledger"), "message long"
+    write = L.once(table, ["message"], schema) if exact else L.append(table)
+    for k in (0, 10):
+        spark.range(k, k + 10).select(F.col("id").alias("message")).write.parquet(str(tmp_path / f"in{k}"))
+        L.drain(spark.readStream.schema(schema).parquet(str(tmp_path / f"in{k}")), write)
+    assert sorted(r.message for r in L.read_ledger(spark, table, schema).collect()) == list(range(20))
+    if exact:
+        L.drain(spark.readStream.schema(schema).parquet(str(tmp_path / "in0")), write)
+        assert L.read_ledger(spark, table, schema).count() == 20
+
+
+def test_scratch_without_a_setting(monkeypatch):
+    """A session that names no folder gets one of its own, the same each time; a cluster's session must name one."""
+    from types import SimpleNamespace
+
+    from parchmill import session
+
+    def made(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"))
+
+    local = made("local[2]")
+    assert session.scratch_dir(local) == session.scratch_dir(local) and session.scratch_dir(local).startswith("file:///")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://x"):
+        with pytest.raises(ValueError):
+            session.scratch_dir(made(master))
+
+
+def test_insert_keeps_new_and_protected_rows_and_the_limit(spark):
     schema = "k long, id long, owner long, status string"
     store = spark.createDataFrame([(1, 1, 1, "active"), (2, 2, 1, "done"), (3, 3, 1, "done"), (4, 4, 2, "done")], schema)
     batch = spark.createDataFrame([(2, 9, 1, "done"), (5, 5, 1, "done"), (5, 6, 1, "active"), (None, 7, 3, "done")], schema)
     got = L.insert(store, batch, "k", "owner", ["id"], "status", ["active"], 2)
-    assert sorted((r.k or 0, r.id) for r in got.collect()) == [(0, 7), (1, 1), (3, 3), (4, 4), (5, 5)]
+    assert sorted((r.k or 0, r.id, r.removed) for r in got.collect()) == [(0, 7, False), (1, 1, False), (2, 2, True), (3, 3, True), (4, 4, False), (5, 5, False)]
+    seven = spark.createDataFrame([(k, k, 1, "active" if k < 3 else "done") for k in range(1, 8)], schema)
+    assert sorted(r.k for r in L.insert(seven, batch.limit(0), "k", "owner", ["id"], "status", ["active"], 5).where("removed").collect()) == [3, 4]
+
+
+def test_store_is_written_as_a_unit(spark):
+    schema = "k long, id long, owner long, status string"
+    store = L.Store(scratch_path(spark, "store"), schema, "k", "owner", ["id"], "status", ["active"], 2)
+    assert store.rows(spark).collect() == [] and store.archive(spark).collect() == []
+    rows = lambda *r: spark.createDataFrame([(k, k, owner, "done") for k, owner in r], schema)
+    held = lambda df: sorted(r.k for r in df.collect())
+    store.put(rows((1, 1), (2, 1), (3, 2)), 0)
+    second = rows((4, 1), (4, 1), (3, 2))
+    store.put(second, 1)
+    assert held(store.rows(spark)) == [2, 3, 4] and held(store.archive(spark)) == [1]
+    store.put(second, 1)  # again
+    assert held(store.rows(spark)) == [2, 3, 4] and held(store.archive(spark)) == [1]
+    # A batch that was lost before its commit is not there.
+    spark.createDataFrame([(9, 9, 1, "done", 0)], schema + ", bucket int").write.partitionBy("bucket").parquet(f"{store.path}/rows/version=2")
+    assert held(store.rows(spark)) == [2, 3, 4]
+    store.put(rows((5, 2)), 2)
+    assert held(store.rows(spark)) == [2, 3, 4, 5]
 
 
 def test_json_is_replaced_whole(spark):
