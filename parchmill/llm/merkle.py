@@ -31,7 +31,7 @@ from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.session import read_table, scratch_path, shuffle_width
+from parchmill.session import read_table, scratch_path, settled, shuffle_width
 
 FAN = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -180,7 +180,8 @@ def proofs(leaves: DataFrame, tree: str = "tree", key: str = "key", leaf: str =
     leaf itself) leads to that root with the leaf's own siblings. leaf and claimed are written in hex."""
     spark = leaves.sparkSession
     width = shuffle_width(spark)
-    rows = leaves.select(F.col(tree).cast("string").alias("tree"), F.col(key).cast("long").alias("key"), F.unhex(leaf).alias("leaf"), F.unhex(claimed).alias("claimed"))
+    # On disk before they are put in order: the sort looks at its input twice, and digests of whole texts are made once.
+    rows = settled(leaves.select(F.col(tree).cast("string").alias("tree"), F.col(key).cast("long").alias("key"), F.unhex(leaf).alias("leaf"), F.unhex(claimed).alias("claimed")), "digests")
     bottom = _saved(_placed(rows, "tree", ["key", "leaf", "claimed"]).mapValues(lambda v: (v[0], bytes(v[1][2]), v[1][1], v[1][3] and bytes(v[1][3]))), spark, "leaves")
     forest = climb(bottom, spark)
     subroots = spark.createDataFrame(forest.roots.map(lambda x: (x[0], x[1][0], x[1][1])), "tree string, height int, digest binary", verifySchema=False)
