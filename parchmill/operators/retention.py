@@ -39,7 +39,7 @@ def over_ceiling(rows: DataFrame, closed: Column, order: list[str], ceiling: int
     return whole.select(*rows.columns).unionByName(part.select(*rows.columns))
 
 
-def _running(rows: DataFrame, owner: str, order: list[str], size: str) -> DataFrame:
+def running(rows: DataFrame, owner: str, order: list[str], size: str) -> DataFrame:
     """rows with _left and _rank, bytes and rows from each one on to the youngest of its owner. Rows are put in ranges of the
     order; a range's totals behind it come from one row a (range, owner), and windows run inside these only, so an owner
     with a great part of all rows is no single task."""
@@ -57,7 +57,7 @@ def rotated(files: DataFrame, owner: str, order: list[str], size: str, target_by
     """What rotation removes: from the oldest on while what is left exceeds the target, never the newest few. The bytes
     left after a row's removal are the running sum of the younger ones, so removal stops at the first survivor. `order` names
     a row: equal ones have no order of their own."""
-    out = _running(files, owner, order, size)
+    out = running(files, owner, order, size)
     return out.where((F.col("_left") > target_bytes) & (F.col("_rank") > keep_newest)).select(*files.columns)
 
 
