@@ -67,11 +67,12 @@ def _task(key: tuple) -> int:
     return zlib.crc32(repr(key).encode())
 
 
-def _saved(rdd: RDD, spark: SparkSession, what: str) -> RDD:
-    """The RDD from files in the shared folder, which cuts its lineage."""
-    path = scratch_path(spark, what)
-    rdd.saveAsPickleFile(path)
-    return spark.sparkContext.pickleFile(path)
+def _saved(rdd: RDD, spark: SparkSession, what: str, level: int = 0) -> RDD:
+    """The RDD from files in the shared folder, which cuts its lineage. A level with a sixteenth of the rows is a sixteenth of the
+    tasks, so that a task has as many rows at each of them."""
+    path, tasks = scratch_path(spark, what), max(1, shuffle_width(spark) // FAN**level)
+    rdd.coalesce(tasks).saveAsPickleFile(path)
+    return spark.sparkContext.pickleFile(path).coalesce(tasks)
 
 
 def _placed(rows: DataFrame, tree: str, order: list[str]) -> RDD:
@@ -145,7 +146,7 @@ def climb(leaves: RDD, spark: SparkSession) -> Forest:
         going = level.filter(lambda x: not alone(x))
         if going.isEmpty():
             return Forest(levels, spark.sparkContext.union(roots))
-        level = _saved(going.map(sends).groupByKey(width, _task).mapValues(hashes), spark, f"level{height + 1}")
+        level = _saved(going.map(sends).groupByKey(width, _task).mapValues(hashes), spark, f"level{height + 1}", height + 1)
         levels.append(level)
 
 
@@ -171,7 +172,7 @@ def descend(forest: Forest, starts: RDD, spark: SparkSession, stop: int) -> RDD:
 
     for k in range(len(forest.levels), stop, -1):
         here = here.union(at_root.filter(lambda x, k=k: x[1][0] == k))
-        here = _saved(_meet(forest.levels[k - 1], here, width).flatMap(sends), spark, f"paths{k}")
+        here = _saved(_meet(forest.levels[k - 1], here, width).flatMap(sends), spark, f"paths{k}", max(0, k - 2))
     return here.union(at_root.filter(lambda x: x[1][0] <= stop))
 
 
