@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchmill.operators import garble as G
-from parchmill.session import read_table
+from parchmill.session import read_table, scratch_path
+from parchmill.sources import docx as D
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -52,3 +53,63 @@ def e14(spark, d):
 @query("e14_healed")
 def e14_healed(spark, d):
     return G.healed(torn(spark, d), separator="\n").select("doc_id", "action", "healed")
+
+
+NUMBERS = '<w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="decimal"/><w:lvlText w:val="%1."/></w:lvl><w:lvl w:ilvl="1"><w:start w:val="1"/><w:numFmt w:val="lowerLetter"/><w:lvlText w:val="%1.%2"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num>'
+STYLES = '<w:style w:type="paragraph" w:styleId="Heading1"><w:name w:val="heading 1"/><w:pPr><w:numPr><w:numId w:val="1"/></w:numPr></w:pPr></w:style>'
+
+
+def as_package(text: str | None) -> bytes:
+    """A text as a Word package: of eight lines one is a numbered heading, one a numbered paragraph, one a table of two cells, one
+    has tracked changes, and the others are of a bold and a plain run."""
+    out = []
+    for k, line in enumerate(x for x in (text or "").split("\n") if x.strip()):
+        kind = k % 8
+        if kind == 0:
+            out.append(f'<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr>{D.run(line)}</w:p>')
+        elif kind == 3:
+            out.append(f'<w:p><w:pPr><w:numPr><w:ilvl w:val="1"/><w:numId w:val="1"/></w:numPr></w:pPr>{D.run(line)}</w:p>')
+        elif kind == 5:
+            out.append(f"<w:tbl><w:tr><w:tc><w:p>{D.run(line)}</w:p></w:tc><w:tc><w:p>{D.run(f'line {k}')}</w:p></w:tc></w:tr></w:tbl>")
+        elif kind == 6:
+            out.append(f'<w:p><w:ins w:id="{2 * k}">{D.run("not yet ")}</w:ins><w:del w:id="{2 * k + 1}">{D.run(line, "delText")}</w:del></w:p>')
+        else:
+            half = len(line) // 2
+            out.append(f"<w:p>{D.run(line[:half], look='<w:b/>')}{D.run(line[half:])}</w:p>")
+    return D.package("".join(out), NUMBERS, STYLES)
+
+
+def write_packages(docs: DataFrame, folder: str) -> None:
+    """A file a document; every fiftieth is cut off in the middle, as a broken upload is."""
+
+    def write(frames):
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(folder)
+        files.create_dir(base, recursive=True)
+        for f in frames:
+            for doc, text in zip(f["doc_id"], f["text"], strict=True):
+                data = as_package(text)
+                with files.open_output_stream(f"{base}/{doc}.docx") as out:
+                    out.write(data[: len(data) // 2] if doc % 50 == 7 else data)
+            yield f[["doc_id"]]
+
+    docs.select("doc_id", "text").mapInPandas(write, "doc_id long").write.format("noop").mode("overwrite").save()
+
+
+DOCX_SQL = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE doc_id % 50 <> 7),
+k AS (SELECT doc_id, trim(x, E' \\t\\r') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k FROM l WHERE trim(x, E' \\t\\r') <> ''),
+c AS (SELECT *, unnest(CASE WHEN k % 8 = 5 THEN [1, 2] ELSE [0] END) AS cell FROM k)
+SELECT doc_id, 'ok' AS status, CAST(k + (k + 2) // 8 + 1 + CASE WHEN cell = 2 THEN 1 ELSE 0 END AS INT) AS source_index, CASE WHEN cell > 0 THEN 'table_cell' ELSE 'paragraph' END AS kind, CASE WHEN cell = 2 THEN 'line ' || k ELSE x END AS text,
+  CASE k % 8 WHEN 0 THEN (k // 8 + 1) || '.' WHEN 3 THEN (k // 8 + 1) || '.a' END AS label, CASE WHEN k % 8 = 0 THEN 1 END AS heading, CASE WHEN cell > 0 THEN CAST(k // 8 + 1 AS INT) END AS table_index, CASE WHEN cell > 0 THEN 1 END AS row_index, CASE WHEN cell > 0 THEN cell END AS cell_index,
+  CASE WHEN k % 8 = 6 THEN 1 ELSE 0 END AS insertions, CASE WHEN k % 8 = 6 THEN 1 ELSE 0 END AS deletions FROM c
+UNION ALL SELECT doc_id, 'not a package', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM documents WHERE doc_id % 50 = 7
+UNION ALL SELECT doc_id, 'no text', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM documents WHERE doc_id % 50 <> 7 AND doc_id NOT IN (SELECT doc_id FROM k)"""
+
+
+@query("s8_docx_paragraphs", DOCX_SQL)
+def s8(spark, d):
+    folder = scratch_path(spark, "packages")
+    write_packages(read_table(spark, d, "documents"), folder)
+    name = F.regexp_extract("path", r"([^/]+)\.docx$", 1).cast("long").alias("doc_id")
+    return D.read_packages(spark, folder).select(name, "status", "source_index", "kind", "text", "label", "heading", "table_index", "row_index", "cell_index", "insertions", "deletions")
