@@ -185,7 +185,7 @@ def proofs(leaves: DataFrame, tree: str = "tree", key: str = "key", leaf: str =
     rows = settled(leaves.select(F.col(tree).cast("string").alias("tree"), F.col(key).cast("long").alias("key"), F.unhex(leaf).alias("leaf"), F.unhex(claimed).alias("claimed")), "digests")
     bottom = _saved(_placed(rows, "tree", ["key", "leaf", "claimed"]).mapValues(lambda v: (v[0], bytes(v[1][2]), v[1][1], v[1][3] and bytes(v[1][3]))), spark, "leaves")
     forest = climb(bottom, spark)
-    subroots = spark.createDataFrame(forest.roots.map(lambda x: (x[0], x[1][0], x[1][1])), "tree string, height int, digest binary", verifySchema=False)
+    subroots = settled(spark.createDataFrame(forest.roots.map(lambda x: (x[0], x[1][0], x[1][1])), "tree string, height int, digest binary", verifySchema=False), "roots")
     # All subroots are one tree, and each stays by its own tree's name in the rows.
     top_rows = _saved(_placed(subroots.select(F.lit(0).alias("all"), "tree", "height", "digest"), "all", ["tree"]), spark, "subroots")
     top = climb(top_rows.mapValues(lambda v: (v[0], bytes(v[1][3]))), spark)
