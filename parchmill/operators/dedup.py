@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,9 @@ SHINGLE = 3
 NEAR_BITS = 4
 #: 64 bits cut into five bands, low bits first: at most four differing bits leave one band equal.
 BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: For pairs: 64 bits cut into parts, and every choice of as many of them as two near hashes must have in common.
+PARTS, PART_BITS = 8, 8
+CHOICES = list(combinations(range(PARTS), PARTS - NEAR_BITS))
 
 
 @F.pandas_udf(T.LongType())
@@ -66,21 +72,93 @@ def band_keys(h: Column) -> Column:
     return F.array(*[F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << n) - 1)) for low, n in BANDS])
 
 
+def _equal_parts(x: Column) -> Column:
+    """Of the xor of two hashes, which of its PARTS are zero: a bit each, the lowest part first."""
+    bits = [F.when(F.shiftrightunsigned(x, PART_BITS * k).bitwiseAND(F.lit((1 << PART_BITS) - 1)) == 0, 1 << k).otherwise(0) for k in range(PARTS)]
+    return reduce(lambda a, b: a + b, bits)
+
+
+def near_values(values: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, low, high): the pairs of different hashes of one group with at most NEAR_BITS differing bits, each once. values: (group,
+    value), both long and each pair of them once.
+
+    A hash is cut into PARTS parts. Of two hashes that differ in NEAR_BITS bits, at least PARTS - NEAR_BITS parts are equal, so both
+    have one of the CHOICES of so many parts in common. Each hash is sent once for each choice, under the 32 bits that it
+    chooses: a million hashes of one group share such a key some hundred times in all, where a key of 13 bits is
+    shared by hundreds each. Of the choices that two hashes have in common only the first one reports them. The join goes
+    through plain exchanges, so adaptive execution splits a key that many hashes share."""
+    masks = [(k, sum(((1 << PART_BITS) - 1) << PART_BITS * p for p in parts)) for k, parts in enumerate(CHOICES)]
+    signed = [(k, m - (1 << 64) if m >> 63 else m) for k, m in masks]
+    rows = values.select(F.col(group).alias("g"), F.col(value).alias("v"))
+    keyed = rows.select("g", "v", F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for _, m in signed])).alias("choice", "key"))
+    other = keyed.select("g", "choice", "key", F.col("v").alias("w"))
+    first = F.array(*[F.lit(_first_choice(e)) for e in range(1 << PARTS)])  # 256 numbers, by rule
+    x = F.col("v").bitwiseXOR(F.col("w"))
+    near = keyed.join(other, ["g", "choice", "key"]).where(F.col("v") < F.col("w")).where((F.bit_count(x) <= NEAR_BITS) & (F.get(first, _equal_parts(x)) == F.col("choice")))
+    return near.select(F.col("g").alias("group"), F.col("v").alias("low"), F.col("w").alias("high"))
+
+
+def _first_choice(equal: int) -> int:
+    """The choice of the lowest equal parts, -1 if they are too few."""
+    parts = tuple(k for k in range(PARTS) if equal >> k & 1)[: PARTS - NEAR_BITS]
+    return CHOICES.index(parts) if len(parts) == PARTS - NEAR_BITS else -1
+
+
+def all_pairs(values: DataFrame, ident: str, value: str, most: int = NEAR_BITS, block: int = 2048) -> DataFrame:
+    """(a, b, bits), a < b: every pair of rows with at most `most` differing bits, found by comparing all with all. It is the check
+    of `near_values` and for small tables only: its work grows with the square, but not what a task holds. Rows are cut into
+    blocks, each pair of blocks is a task's matrix of differing bits, and equal blocks meet once. Null values match nothing."""
+    rows = settled(values.where(F.col(value).isNotNull()).select(F.col(ident).alias("a"), F.col(value).alias("v")).withColumn("n", F.monotonically_increasing_id()), "all-pairs")
+    n = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("k", F.pmod(F.xxhash64("n"), F.lit(n)).cast("int"))
+    # Block k meets the blocks up to itself as the second one, and those from itself on as the first one.
+    sides = [dealt.select(F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.col("k").alias("j"), F.lit(1).alias("side"), "a", "v"), dealt.select(F.col("k").alias("i"), F.explode(F.sequence(F.col("k"), F.lit(n - 1))).alias("j"), F.lit(0).alias("side"), "a", "v")]
+    kind = dict(rows.dtypes)["a"]
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        ids, v = table.column("a").to_numpy(), table.column("v").to_numpy().view(np.uint64)
+        x, y = side == 0, side == 1
+        bits = np.bitwise_count(v[x][:, None] ^ v[y][None, :])
+        r, c = np.nonzero(bits <= most)
+        a, b, d = ids[x][r], ids[y][c], bits[r, c].astype(np.int32)
+        keep = a != b
+        if table.column("i")[0].as_py() == table.column("j")[0].as_py():  # within a block each pair stands on both sides
+            keep &= a < b
+        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "bits": d[keep]})
+
+    return sides[0].unionByName(sides[1]).groupBy("i", "j").applyInArrow(compare, f"a {kind}, b {kind}, bits int")
+
+
+def _own(prints: DataFrame, doc: str, party: str, owner: str | None) -> DataFrame:
+    """(doc, o, p, exact, simhash, g) of documents with words; g is a number for (o, p)."""
+    whose = F.col(owner) if owner else F.lit("")
+    own = prints.where("exact is not null").select(F.col(doc).alias("doc"), whose.alias("o"), F.col(party).alias("p"), "exact", "simhash")
+    return settled(own.withColumn("g", F.xxhash64("o", "p")), "prints")
+
+
+def _near_classes(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, near): the classes (g, o, p, simhash, exact, a) of equal digests of one party with their first document, and
+    the pairs (group, low, high) of different hashes near each other."""
+    classes = settled(own.where("p <> '' and simhash is not null").groupBy("g", "o", "p", "simhash", "exact").agg(F.min("doc").alias("a")), "classes")
+    return classes, settled(near_values(classes.select("g", "simhash").distinct(), "g", "simhash"), "near")
+
+
 def duplicate_pairs(prints: DataFrame, doc: str, party: str, owner: str | None = None) -> DataFrame:
     """(a, b, similarity), a < b: links from which every duplicate follows. Copies (equal digests under any party) are one row each,
     from the first of them: a group never turns into its pairs. Different digests with at most four differing bits under one
-    party are one row a pair of digests, from the first document of each there; candidates come from a join on (party, band,
-    key): five bands leave none out. The owner, if any, is part of every key. The party `""` never matches."""
-    whose = F.col(owner) if owner else F.lit("")
-    own = settled(prints.where("exact is not null").select(F.col(doc).alias("doc"), whose.alias("o"), F.col(party).alias("p"), "exact", "simhash"), "prints")
+    party are one row a pair of digests, from the first document of each there. The owner, if any, is part of every key.
+    The party `""` never matches."""
+    own = _own(prints, doc, party, owner)
     first = own.groupBy("o", "exact").agg(F.min("doc").alias("a"))
     same = own.join(first, ["o", "exact"]).where("a < doc").select("a", F.col("doc").alias("b"), F.lit(1.0).alias("similarity"))
-    classes = own.where("p <> '' and simhash is not null").groupBy("o", "p", "exact", "simhash").agg(F.min("doc").alias("a"))
-    keyed = classes.select("*", F.posexplode(band_keys(F.col("simhash"))).alias("band", "key"))
-    other = keyed.select("o", "p", "band", "key", F.col("exact").alias("exact2"), F.col("simhash").alias("simhash2"), F.col("a").alias("b"))
-    near = keyed.join(other, ["o", "p", "band", "key"]).where("a < b and exact <> exact2").where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("simhash2"))) <= NEAR_BITS)
-    near = near.select("a", "b", similarity(F.col("exact"), F.col("exact2"), F.col("simhash"), F.col("simhash2")).alias("similarity"))
-    return same.unionByName(near).dropDuplicates(["a", "b"])
+    classes, near = _near_classes(own)
+    one, two = (classes.select("g", F.col("o").alias(f"o{k}"), F.col("p").alias(f"p{k}"), F.col("simhash").alias(f"s{k}"), F.col("exact").alias(f"e{k}"), F.col("a").alias(f"a{k}")) for k in (1, 2))
+    equal = one.join(two, (one.g == two.g) & (F.col("s1") == F.col("s2"))).where("o1 = o2 and p1 = p2 and a1 < a2 and e1 <> e2")
+    apart = near.join(one, (F.col("group") == one.g) & (F.col("low") == F.col("s1"))).drop("g").join(two, (F.col("group") == two.g) & (F.col("high") == F.col("s2"))).where("o1 = o2 and p1 = p2 and e1 <> e2 and a1 <> a2")
+    score = similarity(F.col("e1"), F.col("e2"), F.col("s1"), F.col("s2")).alias("similarity")
+    pairs = [x.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"), score) for x in (equal, apart)]
+    return same.unionByName(pairs[0]).unionByName(pairs[1]).dropDuplicates(["a", "b"])
 
 
 def exact_classes(prints: DataFrame, doc: str) -> DataFrame:
@@ -92,18 +170,24 @@ def exact_classes(prints: DataFrame, doc: str) -> DataFrame:
 def earliest_match(prints: DataFrame, doc: str, party: str, owner: str | None = None) -> DataFrame:
     """(doc, match, similarity): for every document that has duplicates the earliest of them, not itself.
 
-    Copies are grouped, never paired: the first of a digest is the match of the others, the second that of the first.
-    Only different digests of one party meet in the band join."""
-    whose = F.col(owner) if owner else F.lit("")
-    own = settled(prints.where("exact is not null").select(F.col(doc).alias("doc"), whose.alias("o"), F.col(party).alias("p"), "exact", "simhash"), "prints")
+    No group turns into its pairs. Copies are grouped: the first of a digest is the match of the others, the second that of the
+    first. Digests with one hash are grouped too: the first of them is the match of the others, and the next one with
+    another digest that of the first. What is left are pairs of near hashes, which hand over their first documents."""
+    own = _own(prints, doc, party, owner)
     first = own.groupBy("o", "exact").agg(F.min("doc").alias("first"), F.max("doc").alias("_last")).where("first < _last").drop("_last")
     second = own.join(first, ["o", "exact"]).where("doc > first").groupBy("o", "exact", "first").agg(F.min("doc").alias("second"))
     same = own.join(second, ["o", "exact"]).select("doc", F.when(F.col("doc") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("b"), F.lit(1.0).alias("similarity"))
-    classes = own.where("p <> '' and simhash is not null").groupBy("o", "p", "exact", "simhash").agg(F.min("doc").alias("first"))
-    keyed = classes.select("*", F.posexplode(band_keys(F.col("simhash"))).alias("band", "key"))
-    other = keyed.select("o", "p", "band", "key", F.col("exact").alias("exact2"), F.col("simhash").alias("simhash2"), F.col("first").alias("b"))
-    near = keyed.join(other, ["o", "p", "band", "key"]).where("exact <> exact2").where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("simhash2"))) <= NEAR_BITS)
-    best = near.groupBy("o", "p", "exact").agg(F.min(F.struct("b", similarity(F.col("exact"), F.col("exact2"), F.col("simhash"), F.col("simhash2")).alias("similarity"))).alias("m"))
+    classes, near = _near_classes(own)
+    key = ["g", "o", "p", "simhash"]
+    heads = settled(classes.groupBy(*key).agg(F.min(F.struct("a", "exact")).alias("h")), "heads")
+    nexts = classes.join(heads, key).where("exact <> h.exact").groupBy(*key).agg(F.min(F.struct("a", "exact")).alias("n"))
+    within = classes.join(heads.join(nexts, key), key).select("o", "p", "exact", F.when(F.col("exact") == F.col("h.exact"), F.col("n.a")).otherwise(F.col("h.a")).alias("b"), F.lit(1.0).alias("similarity"))
+    both = near.unionByName(near.select("group", F.col("high").alias("low"), F.col("low").alias("high")))
+    far = heads.select("g", F.col("o").alias("o2"), F.col("p").alias("p2"), F.col("simhash").alias("s2"), F.col("h.a").alias("b"))
+    offered = both.join(far, (F.col("group") == F.col("g")) & (F.col("high") == F.col("s2"))).groupBy("group", "low", "o2", "p2").agg(F.min(F.struct("b", "s2")).alias("m"))
+    beyond = classes.join(offered, (F.col("g") == F.col("group")) & (F.col("simhash") == F.col("low")) & (F.col("o") == F.col("o2")) & (F.col("p") == F.col("p2")))
+    beyond = beyond.select("o", "p", "exact", F.col("m.b").alias("b"), (1 - F.bit_count(F.col("simhash").bitwiseXOR(F.col("m.s2"))) / F.lit(64.0)).alias("similarity"))
+    best = within.unionByName(beyond).groupBy("o", "p", "exact").agg(F.min(F.struct("b", "similarity")).alias("m"))
     close = own.join(best, ["o", "p", "exact"]).select("doc", F.col("m.b").alias("b"), F.col("m.similarity").alias("similarity"))
     return same.unionByName(close).groupBy("doc").agg(F.min(F.struct("b", "similarity")).alias("m")).select("doc", F.col("m.b").alias("match"), F.round("m.similarity", 4).alias("similarity"))
 

@@ -10,6 +10,7 @@ from parchmill.functions import text as X
 from parchmill.operators import comparison as M
 from parchmill.operators import corpus, dedup
 from parchmill.operators import intake as I
+from parchmill.plans.text_queries import DUCK_BITS, spread
 from parchmill.session import read_table, scratch_path
 from parchmill.sources.json_files import write_json_atomically
 from parchmill.streaming import ledger as L
@@ -146,12 +147,9 @@ def t19(spark, d):
     return read_table(spark, d, "conversations").where("text is not null and role is not null").select("conv_id", "turn", F.array_join(M.nested_strings(value), "|").alias("strings"))
 
 
-@query("j8_all_pairs_oracle", """WITH f AS (SELECT doc_id, source, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') AS form FROM documents), e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id WHERE regexp_matches(a.form, '[\\pL\\pN_]'))
-SELECT min(a) AS a, b FROM e GROUP BY b""")
+@query("j8_all_pairs_oracle", f"WITH {DUCK_BITS} SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(CAST(xor(a.sim, b.sim) AS UBIGINT)) AS INT) AS bits FROM f a JOIN f b ON a.doc_id < b.doc_id AND bit_count(CAST(xor(a.sim, b.sim) AS UBIGINT)) <= 4")
 def j8(spark, d):
-    form = X.hash_form(F.col("text"))
-    prints = read_table(spark, d, "documents").where(form.rlike(r"(?U)\w")).select("doc_id", F.lit("").alias("source"), F.sha2(form, 256).alias("exact"), F.lit(None).cast("long").alias("simhash"))
-    return dedup.duplicate_pairs(prints, "doc_id", "source").select("a", "b")
+    return dedup.all_pairs(dedup.fingerprints(spread(spark, d)), "doc_id", "simhash")
 
 
 COVER_SQL = """WITH s AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations), a AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM s WHERE text <> ''),
