@@ -134,3 +134,9 @@ def nested_strings(values: pd.Series) -> pd.Series:
                 todo += reversed(list(x.values()) if isinstance(x, dict) else x)
         out.append(found)
     return pd.Series(out)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def spans_of(texts: pd.Series, patterns: pd.Series) -> pd.Series:
+    """Where a pattern matches, as (start, end) in characters; none in a null text."""
+    return pd.Series([[{"start": m.start(), "end": m.end()} for m in re.finditer(p, t)] if t is not None else [] for t, p in zip(texts, patterns, strict=True)])

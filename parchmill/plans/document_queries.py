@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parchmill.functions.mail import mail_texts
+from parchmill.operators import comparison as M
 from parchmill.operators import garble as G
+from parchmill.operators import grids as T
+from parchmill.operators import lint as N
+from parchmill.operators import redlines as R
 from parchmill.session import read_table, scratch_path
 from parchmill.sources import docx as D
 
@@ -113,3 +118,113 @@ def s8(spark, d):
     write_packages(read_table(spark, d, "documents"), folder)
     name = F.regexp_extract("path", r"([^/]+)\.docx$", 1).cast("long").alias("doc_id")
     return D.read_packages(spark, folder).select(name, "status", "source_index", "kind", "text", "label", "heading", "table_index", "row_index", "cell_index", "insertions", "deletions")
+
+
+def lines(spark, d) -> DataFrame:
+    """(doc, position, text): the lines of documents that hold text, from 1."""
+    kept = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    return read_table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(kept).alias("p", "text")).select("doc", (F.col("p") + 1).alias("position"), "text")
+
+
+TERM, LAW = "The term is five years.", "The law of England governs."
+REDLINE_SQL = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), p AS (SELECT doc_id AS doc, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS position, x AS text, count(*) OVER (PARTITION BY doc_id) AS n FROM l WHERE trim(x) <> '')
+SELECT doc, CAST(position AS INT) AS position, 0 AS part, CASE WHEN position = 1 AND n >= 3 THEN '{TERM}' ELSE text END AS text FROM p WHERE NOT (n >= 3 AND position % 4 = 1 AND position > 1) AND NOT (position % 3 = 2)
+UNION ALL SELECT doc, CAST(CASE WHEN n >= 4 THEN 4 ELSE n END AS INT), 1, '{LAW}' FROM p WHERE position = 1"""
+
+
+@query("e9_redlines", REDLINE_SQL)
+def e9(spark, d):
+    p = lines(spark, d)
+    places = lambda k, r: F.array_sort(F.collect_list(F.when(F.col("position") % k == r, F.col("position").cast("int"))))
+    docs = p.groupBy("doc").agg(F.count("*").alias("n"), places(4, 1).alias("m4"), places(3, 2).alias("m3"))  # one document's lines
+    row = lambda clause, order, issue, action, wording, matched, anchor: F.struct(F.lit(clause).alias("clause"), F.lit(order).alias("order"), issue.alias("issue"), F.lit(action).alias("action"), F.lit(wording).cast("string").alias("wording"), matched.alias("matched"), anchor.cast("int").alias("anchor"))
+    wrong, none, nowhere = F.lit("present_but_wrong"), F.lit(None).cast("array<int>"), F.lit(None)
+    results = F.array(
+        row("term", 1, F.when(F.col("n") >= 3, wrong).otherwise("none"), R.REPLACE, f" {TERM} ", F.col("m4"), nowhere),
+        row("signatures", 2, wrong, R.DELETE, None, F.col("m3"), nowhere),
+        row("law", 3, F.lit("missing"), R.INSERT, LAW, none, F.when(F.col("n") >= 4, 4)),
+        row("lost", 4, F.lit("missing"), R.INSERT, " ", none, nowhere),
+    )
+    return R.redlined(p, R.generated(docs.select("doc", F.inline(results))))
+
+
+@query("e9_spans", "SELECT doc_id, regexp_replace(regexp_replace(text, '[a-z]{10,}', '<long word>', 'g'), '[0-9]+', '#', 'g') AS text FROM documents")
+def e9_spans(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    put = lambda spans, text: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(text).alias("text")))
+    long, number = M.spans_of("text", F.lit("[a-z]{10,}")), M.spans_of("text", F.lit("[0-9]+"))
+    # Each long word has a wider proposal too, which ends later and so never stands.
+    wide = F.transform("long", lambda s: F.struct((s["start"] - 1).alias("start"), (s["end"] + 1).alias("end"), F.lit("never").alias("text")))
+    edits = docs.withColumn("long", long).withColumn("number", number).withColumn("kept", R.standing_spans(F.concat(put(F.col("long"), "<long word>"), put(F.col("number"), "#"), wide)))
+    return edits.select("doc_id", R.with_spans(F.col("text"), F.col("kept")).alias("text"))
+
+
+LINT_SQL = """WITH p AS (SELECT p_partkey AS k, p_size AS z, p_partkey // 10 AS book, p_type AS t, CASE WHEN p_partkey % 97 = 0 THEN 'signatures' WHEN p_partkey % 97 = 1 THEN 'governing_law' WHEN p_partkey % 31 = 5 THEN 'C' || (p_partkey - 1) ELSE 'c' || p_partkey END AS clause FROM part),
+v AS (
+SELECT book, clause, 'decision_space_coverage' AS "check", 'never passes' AS detail, 'error' AS severity FROM p WHERE k % 4 = 1
+UNION ALL SELECT book, clause, 'decision_space_coverage', 'never flagged', 'error' FROM p WHERE z % 3 = 0
+UNION ALL SELECT book, clause, 'condition_well_formed', (CASE WHEN k % 6 = 0 THEN 'P' ELSE 'f' END) || ': unknown decision maybe', 'error' FROM p WHERE z % 3 <> 0 AND z % 7 = 1
+UNION ALL SELECT book, clause, 'condition_well_formed', (CASE WHEN k % 6 = 0 THEN 'P' ELSE 'f' END) || ': decision review in fail_conditions', 'error' FROM p WHERE z % 3 <> 0 AND z % 7 = 0
+UNION ALL SELECT book, clause, 'condition_well_formed', 'id used again: p', 'error' FROM p WHERE z % 3 <> 0 AND k % 6 = 0 AND k % 4 <> 1
+UNION ALL SELECT book, clause, 'condition_well_formed', '<review_triggers entry>: no id', 'error' FROM p WHERE z % 3 <> 0 AND k % 17 = 0
+UNION ALL SELECT book, clause, 'redline_template_present', (CASE WHEN k % 6 = 0 THEN 'P' ELSE 'f' END) || ': nothing to build replace_paragraph', 'error' FROM p WHERE z % 3 <> 0 AND k % 2 = 0 AND k % 3 <> 0 AND k % 5 <> 0 AND NOT (z % 4 = 0)
+UNION ALL SELECT book, clause, 'approved_options_present', CASE WHEN z % 4 = 0 THEN 'source without options' ELSE 'prose without options' END, 'error' FROM p WHERE (z % 4 = 0 OR k % 13 = 0) AND k % 2 = 1 AND k % 9 <> 0
+UNION ALL SELECT book, clause, 'referential_integrity', 'no field redline_template', 'error' FROM p WHERE k % 11 = 0 AND k % 3 <> 0
+UNION ALL SELECT book, clause, 'referential_integrity', 'no options for approved_options', 'error' FROM p WHERE z % 4 = 0 AND k % 2 = 1 AND k % 9 <> 0
+UNION ALL SELECT book, clause, 'referential_integrity', 'not approved: Law of A', 'error' FROM p WHERE z % 5 = 0 AND k % 2 = 1 AND k % 9 = 0
+UNION ALL SELECT book, clause, 'option_id_collision', 'values give one id: law_of_a', 'error' FROM p WHERE k % 18 = 0
+UNION ALL SELECT book, clause, 'option_id_collision', 'id of several values: x', 'error' FROM p WHERE k % 36 = 0
+UNION ALL SELECT book, clause, 'law_alias_collision', 'shared: common', 'warning' FROM p WHERE k % 90 = 0
+UNION ALL SELECT book, clause, 'trigger_terms_present', 'no term that prints', 'error' FROM p WHERE k % 7 = 0
+UNION ALL SELECT book, clause, 'condition_contradiction', 'passes and is flagged: ' || lower(t), 'error' FROM p WHERE k % 4 <> 1 AND z % 3 <> 0 AND k % 8 = 0
+UNION ALL SELECT a.book, least(a.clause, b.clause), 'clause_id_uniqueness', 'id used again: ' || lower(a.clause), 'error' FROM p a JOIN p b ON a.book = b.book AND lower(a.clause) = lower(b.clause) AND a.k < b.k
+UNION ALL SELECT book, clause, 'native_clause_inventory', 'has a check of its own', 'error' FROM p WHERE k % 97 IN (0, 1) AND z % 2 = 0
+UNION ALL SELECT book, m, 'native_clause_inventory', 'missing', 'error' FROM (SELECT book, list(clause) AS have FROM p WHERE k % 97 IN (0, 1) AND z % 2 = 1 GROUP BY 1), (SELECT unnest(['governing_law', 'signatures']) AS m) WHERE NOT list_contains(have, m))
+SELECT DISTINCT book, clause, "check", detail, severity FROM v"""
+
+
+@query("e6_rule_lint", LINT_SQL)
+def e6(spark, d):
+    k, z = F.col("p_partkey"), F.col("p_size")
+    clause = F.when(k % 97 == 0, "signatures").when(k % 97 == 1, "governing_law").when(k % 31 == 5, F.concat(F.lit("C"), k - 1)).otherwise(F.concat(F.lit("c"), k))
+    part = read_table(spark, d, "part").withColumn("book", F.expr("p_partkey div 10")).withColumn("clause", clause)
+    pick = lambda condition, value: F.when(condition, value).otherwise("")
+    clauses = part.select("book", "clause", F.when(z % 2 == 0, "dynamic").otherwise("native").alias("engine"), F.when(k % 7 == 0, F.array(F.lit("​"), F.lit(" "))).otherwise(F.array("p_type")).alias("search_terms"), pick(k % 3 == 0, "T").alias("template"), pick(k % 5 == 0, "W").alias("fallback_wording"), pick(z % 4 == 0, "approved_options").alias("option_source"), pick(k % 11 == 0, "redline_template").alias("template_field"), pick(k % 3 == 0, "T").alias("template_value"), pick(z % 5 == 0, "Law of A").alias("preferred"), F.when(k % 13 == 0, "Use approved laws.").otherwise(F.col("p_name")).alias("prose"))
+    fields = "field string, position int, id string, decision string, issue_type string, description string, redline_action string"
+    row = lambda *x: F.struct(*[(c if not isinstance(c, str) else F.lit(c)).alias(n.split()[0]) for c, n in zip(x, fields.split(", "), strict=True)])
+    decision = F.when(z % 7 == 0, "review").when(z % 7 == 1, "maybe").otherwise("fail")
+    state = F.when(k % 8 == 0, F.concat(F.lit("  "), F.upper("p_type"), F.lit("."))).otherwise(F.concat(F.lit("not "), "p_type"))
+    given = F.array_compact(F.array(
+        F.when(k % 4 != 1, row("pass_conditions", F.lit(1), "p", "pass", "none", F.col("p_type"), "no_change")),
+        F.when(z % 3 != 0, row("fail_conditions", F.lit(2), F.when(k % 6 == 0, "P").otherwise("f"), decision, "present_but_wrong", state, F.when(k % 2 == 0, "replace_paragraph").otherwise("no_change"))),
+        F.when((z % 3 != 0) & (k % 17 == 0), row("review_triggers", F.lit(3), " ", "review", "unclear", "seldom", "no_change")),
+    ))
+    conditions = part.select("book", "clause", F.inline(given))
+    option = lambda value: F.struct(pick(k % 12 == 0, "x").alias("id"), F.lit(value).alias("value"), F.when(k % 10 == 0, F.array(F.lit("Common."))).alias("aliases"))
+    options = part.select("book", "clause", F.inline(F.array_compact(F.array(F.when(k % 2 == 0, option("Law of A")), F.when(k % 9 == 0, option("law-of a"))))))
+    return N.violations(clauses, conditions, options, ["governing_law", "signatures"])
+
+
+GRID_SQL = """SELECT l_orderkey AS page, 1 AS table_index, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS row_index,
+  l_linenumber || '|' || l_partkey || '|' || (CASE WHEN l_linestatus = 'O' THEN 'still open' ELSE 'filled' END) || '|' || (CASE WHEN l_returnflag = 'N' THEN '' ELSE 'flag ' || l_returnflag END) AS cells FROM lineitem WHERE l_orderkey % 4 <> 1"""
+
+
+@query("s11_tables", GRID_SQL)
+def s11(spark, d):
+    """Each order's lines as a page: a heading, a sentence, and a table with an empty cell here and there. A fourth of the pages has no
+    sign of a table."""
+    flag = F.when(F.col("l_returnflag") == "N", "").otherwise(F.concat(F.lit("flag "), "l_returnflag"))
+    state = F.when(F.col("l_linestatus") == "O", "still open").otherwise("filled")
+    line = F.concat(F.rpad(F.col("l_linenumber").cast("string"), 6, " "), F.rpad(F.col("l_partkey").cast("string"), 14, " "), F.rpad(state, 13, " "), flag)
+    grid = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line")))).alias("rows"))
+    # An order of flags N only has a column that is never filled; a heading that stands in all columns keeps it.
+    head = F.concat(F.rpad(F.lit("no"), 6, " "), F.rpad(F.lit("part"), 14, " "), F.rpad(F.lit("state"), 13, " "), F.lit("flag"))
+    opening = F.when(F.col("page") % 4 == 1, "A page of prose\n\n").otherwise("Signature page\n\n")
+    text = F.concat(opening, F.lit("All goods below were handed over as agreed.\n\n"), head, F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
+    found = T.recovered(grid.select("page", text.alias("text")), "page", "text").where("row_index > 1")
+    return found.select("page", "table_index", (F.col("row_index") - 1).alias("row_index"), F.array_join("cells", "|").alias("cells"))
+
+
+@query("s13_mail_text")
+def s13(spark, d):
+    return read_table(spark, d, "pages").select("page_id", mail_texts("html").alias("text"))
