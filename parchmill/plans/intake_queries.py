@@ -171,12 +171,6 @@ def j15(spark, d):
     return M.matched(items, "doc", "edit", "place")
 
 
-@query("q1_validated", "SELECT * FROM (VALUES (1, 'signed: yes'), (2, 'everything'), (3, 'status: approved; term years: 100; min age days: 1'), (4, 'text: loan; sort: newest')) v(k, words)")
-def q1(spark, d):
-    specs = [{"signed": True, "has_issues": "yes", "odd": 1}, {"term_years": float("nan"), "min_age_days": float("inf"), "signed": 1}, {"status": " Approved ", "term_years": 900, "min_age_days": -3}, {"text": "  loan ", "sort": "NEWEST", "phase": 7}]
-    return spark.createDataFrame([(k, corpus.described(corpus.validated(s))) for k, s in enumerate(specs, 1)], "k int, words string")
-
-
 @query("f2_scalars", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, round(o_custkey % 7 / nullif(o_custkey % 3, 0), 6) AS share, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN lower(o_orderpriority) END AS known, array_to_string(list_transform(range(o_custkey % 4, least(o_custkey % 4 + 2, 5) + 1), lambda x: x::VARCHAR), ',') AS numbers FROM orders")
 def f2(spark, d):
     o = read_table(spark, d, "orders")
