@@ -4,8 +4,9 @@ Every text block has a root-to-leaf tag path. Per path a page's text length, pun
 added up; length and punctuation per block are the path's two ratios. They are fused into one figure a path, smoothed over
 the paths of the same container (a headline borrows from its paragraphs), and the paths whose figure reaches a share of
 the page's best are content. Links weigh nothing. A class or id made of words such as "ad" or "comments" lowers the figure of
-the paths below it a great deal, one that only holds such a word ("related-work") a little; neither decides alone. Only what
-HTML itself marks as something else (nav, footer, aside, form, scripts, hidden parts, such roles) never competes.
+the paths below it a great deal, one that only holds such a word ("related-work", or an article that is a "story" too) a little;
+neither decides alone. Only what HTML itself marks as something else (nav, footer, aside, scripts, hidden parts, such roles)
+never competes, nor does a form, unless it holds more than half of the page's text: such a form wraps the page.
 
 Paths are nodes of a tree that is built as the page is read, so a page costs time in proportion to its length however
 deep its elements nest.
@@ -35,16 +36,18 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 SILENT = frozenset("script style noscript template iframe object svg math canvas audio video head title button select textarea datalist".split())
 CONTAINERS = frozenset("html body article main section div td center".split())
 #: Parts that are not the article, whatever they hold.
-ASIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
+ASIDE_TAGS = frozenset("nav footer aside menu dialog".split())
 ASIDE_WORD = re.compile(
     r"ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|menu|navbar|nav|navigation|breadcrumbs?|pagination|pager|sidebar|side|aside|widget|footer|masthead|siteheader|topbar|comments?|commentlist|discussion|disqus|respond|replies|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|skip|hidden",
     re.IGNORECASE,
 )
 #: Words of class names that say nothing about the matter.
 NEUTRAL_WORD = re.compile(r"box|block|bar|list|container|wrapper|wrap|section|area|top|bottom|left|right|links?|items?|inner|outer|site|page|header|unit|slot|form|\d*", re.IGNORECASE)
+#: Words by which an article says that it is one, whatever else it is called.
+CONTENT_WORD = re.compile(r"post|story|entry|hentry|article|content|body|text|news|blog|main|single", re.IGNORECASE)
 #: What a name made of such words, and what one that only holds one, leaves of the figures below it.
 ASIDE_WEIGHT, HINT_WEIGHT = 0.01, 0.5
-ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 SPACE = re.compile(r"\s+")
 #: The weight that an element named for content lends to the ratios below it.
@@ -69,6 +72,13 @@ def name_weight(named: str) -> float:
     return weight
 
 
+def article_weight(named: str) -> float:
+    """The same for an article: a reader's comment is one too, but one with a name of its own is lowered a little at most."""
+    owned = any(all(CONTENT_WORD.fullmatch(w) or NEUTRAL_WORD.fullmatch(w) for w in re.split(r"[_-]+", token) if w) and CONTENT_WORD.search(token) for token in named.split())
+    weight = name_weight(named)
+    return max(weight, HINT_WEIGHT) if owned else weight
+
+
 class Path:
     """A root-to-leaf tag path: what its steps say of it, and the figures of its blocks."""
 
@@ -78,8 +88,8 @@ class Path:
         self.below: dict[tuple[str, str], Path] = {}
         content = CONTENT_WEIGHT.get(tag, 1.0)
         self.content = max(above.content, content) if above else content
-        plain = tag in ("html", "body", "main", "article") or not named
-        self.weight = (above.weight if above else 1.0) * (1.0 if plain else name_weight(named))
+        plain = tag in ("html", "body", "main") or not named
+        self.weight = (above.weight if above else 1.0) * (1.0 if plain else article_weight(named) if tag == "article" else name_weight(named))
         opens = content > 1 or (tag in CONTAINERS and not (above and above.content > 1))
         self.container: Path = self if opens or above is None else above.container
         self.count = self.length = self.marks = self.linked = 0
@@ -95,14 +105,16 @@ class Path:
 
 
 class Blocks(HTMLParser):
-    """Text blocks in page order: (path, text, letters of it inside links). Blocks of set-aside parts are not kept."""
+    """Text blocks in page order: (path, text, letters of it inside links, number of the form around it or 0). Blocks of set-aside
+    parts are not kept."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, Path, bool]] = []  # tag, path, set aside
+        self.open: list[tuple[str, Path, bool, int]] = []  # tag, path, set aside, form
+        self.forms = self.form = 0
         self.count: Counter[str] = Counter()
         self.root = Path()
-        self.blocks: list[tuple[Path, str, int]] = []
+        self.blocks: list[tuple[Path, str, int, int]] = []
         self.text: list[str] = []
         self.linked = 0
         self.at: Path | None = None
@@ -111,11 +123,11 @@ class Blocks(HTMLParser):
         if self.text:
             text = SPACE.sub(" ", "".join(self.text)).strip()
             if text and self.at is not None:
-                self.blocks.append((self.at, text, self.linked))
+                self.blocks.append((self.at, text, self.linked, self.form))
             self.text, self.linked, self.at = [], 0, None
 
     def _close_to(self, k: int) -> None:
-        ends = [t for t, _, _ in self.open[k:]]
+        ends = [x[0] for x in self.open[k:]]
         if any(t in BLOCKS for t in ends):
             self.flush()
         self.count.subtract(ends)
@@ -130,7 +142,10 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         given = {k: v or "" for k, v in attrs}
-        above, off = (self.open[-1][1], self.open[-1][2]) if self.open else (self.root, False)
+        above, off, form = self.open[-1][1:] if self.open else (self.root, False, 0)
+        if (tag == "form" or given.get("role", "").lower() == "form") and not form:
+            self.forms += 1
+            form = self.forms
         named = f"{given.get('class', '')} {given.get('id', '')}".strip()
         off = (
             off
@@ -140,10 +155,9 @@ class Blocks(HTMLParser):
             or "hidden" in given
             or given.get("aria-hidden") == "true"
             or given.get("role", "").lower() in ASIDE_ROLES
-            or (tag == "article" and any(ASIDE_WORD.fullmatch(w) for w in named.split()))
         )
         self.count[tag] += 1
-        self.open.append((tag, above if off else above.step(tag, named), off))
+        self.open.append((tag, above if off else above.step(tag, named), off, form))
 
     def _imply(self, tag: str) -> None:
         ended = ENDED_BY.get(tag, ("p",))
@@ -179,12 +193,21 @@ class Blocks(HTMLParser):
         if self.at is None:
             if not data.strip():
                 return
-            self.at = self.open[-1][1] if self.open else self.root
+            self.at, self.form = (self.open[-1][1], self.open[-1][3]) if self.open else (self.root, 0)
         self.text.append(data)
         if self.count["a"]:
             self.linked += len(data.strip())
 
 
+def outside_forms(blocks: list[tuple[Path, str, int, int]]) -> list[tuple[Path, str, int]]:
+    """The blocks that are in no form, or in one that holds more than half of the page's text."""
+    letters: Counter[int] = Counter()
+    for _, text, _, form in blocks:
+        letters[form] += len(text)
+    whole = sum(letters.values())
+    return [(path, text, linked) for path, text, linked, form in blocks if not form or 2 * letters[form] > whole]
+
+
 def content_paths(blocks: list[tuple[Path, str, int]]) -> set[Path]:
     """The paths whose smoothed, fused figure reaches the threshold. A path of links borrows only inside a part that is named
     for content."""
@@ -214,8 +237,9 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    keep = content_paths(parser.blocks)
-    return "\n".join(text for path, text, _ in parser.blocks if path in keep)
+    blocks = outside_forms(parser.blocks)
+    keep = content_paths(blocks)
+    return "\n".join(text for path, text, _ in blocks if path in keep)
 
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

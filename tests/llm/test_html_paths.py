@@ -30,8 +30,6 @@ def render(x):
 
 def plain_blocks(x, path, out):
     """One block for each p or li, its path the one of its first text."""
-    if x[0] == "article" and x[1] in ("comments", "side"):
-        return
     path = [*path, x[:2]]
     if x[0] in ("p", "li"):
         text = " ".join(re.sub("<[^>]*>", " ", render(x)).split())
@@ -48,7 +46,7 @@ def plain_text(blocks):
         groups[path].append((text, linked))
         w, inside, box = 1.0, False, ()
         for k, (tag, name) in enumerate(path, 1):
-            w *= 1.0 if tag == "article" else factor.get(name, 1.0)
+            w *= factor.get(name, 1.0)
             if tag == "article" or (not inside and tag in ("div", "section")):
                 box = path[:k]
             inside |= tag == "article"
