@@ -76,7 +76,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("_id", "host", "path", "rule", "verdict")])
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[tuple[str, dict[str, tuple[str, str]]]] = []  # (prefix, rules by path)
+        stack: list[tuple[str, dict[str, tuple[str, str]], set[int]]] = []  # (prefix, rules by path, lengths of these paths)
         at = None
         for b in batches:
             out: list[tuple] = []
@@ -87,14 +87,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
                     stack.pop()
                 if kind == 0:
                     if not stack or stack[-1][0] != own_key:
-                        stack.append((own_key, {}))
+                        stack.append((own_key, {}, set()))
                     known = stack[-1][1].get(path)
                     if known is None or verdict == "block":
                         stack[-1][1][path] = rule, verdict
+                        stack[-1][2].add(len(path))
                     continue
                 best = None
-                for prefix, by_path in stack:
-                    for n in {len(p) for p in by_path}:
+                for prefix, by_path, lengths in stack:
+                    for n in lengths:
                         found = by_path.get(path[:n]) if n <= len(path) else None
                         if found and (best is None or (len(found[0]), len(prefix)) >= best[0]):
                             best = (len(found[0]), len(prefix)), found
