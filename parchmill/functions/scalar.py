@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from datetime import UTC
+from email.utils import parsedate_to_datetime
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DAY_MS = 86_400_000
+NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -59,3 +65,42 @@ def term_band(years: Column) -> Column:
 
 def months_as_years(months: Column) -> Column:
     return months / F.lit(12.0)
+
+
+def number_words(n: Column) -> Column:
+    """A count in words up to twenty, and thirty; others in digits."""
+    word = F.get(F.array(*map(F.lit, NUMBER_WORDS)), (n - 1).cast("int"))
+    return F.when(n.between(1, len(NUMBER_WORDS)), word).when(n == 30, "thirty").otherwise(n.cast("string"))
+
+
+def year_label(years: Column, digits: bool = False) -> Column:
+    """"five years", or with digits "five (5) years"."""
+    unit = F.when(years == 1, " year").otherwise(" years")
+    return F.concat(number_words(years), F.concat(F.lit(" ("), years.cast("string"), F.lit(")")) if digits else F.lit(""), unit)
+
+
+@F.pandas_udf(T.StringType())
+def email_time(dates: pd.Series) -> pd.Series:
+    """The date of a mail's header as an ISO text, in UTC where it names no zone; empty if it cannot be read."""
+
+    def read(x: str | None) -> str:
+        try:
+            d = parsedate_to_datetime(x) if x else None
+        except (TypeError, ValueError):
+            return ""
+        return "" if d is None else (d if d.tzinfo else d.replace(tzinfo=UTC)).isoformat()
+
+    return dates.map(read)
+
+
+def counts_by_key(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, counts): how often each key stands in a group, as a map; null keys do not count. Counted before they are
+    gathered, so a group holds as many entries as it has keys."""
+    n = rows.where(F.col(key).isNotNull()).groupBy(group, key).agg(F.count("*").alias("n"))
+    return n.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias("counts"))
+
+
+def finite_json(c: Column, schema: str) -> Column:
+    """A JSON object by a schema; null if it is none, or holds NaN or an infinity."""
+    bare = c.rlike(r'(?:^|[:\[,])\s*[-+]?(?:NaN|Infinity|INF)\s*(?:[,}\]]|$)')
+    return F.when(~bare, F.from_json(c, schema, {"allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}))

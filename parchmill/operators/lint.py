@@ -34,7 +34,7 @@ def described(c: Column) -> Column:
 
 def option_key(c: Column) -> Column:
     """The short id that an option's value gives."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9]+", "_"), r"^_+|_+$", ""), F.lit("")), F.lit("option"))
 
 
 def _found(rows: DataFrame, check: str, detail: Column | str, severity: str = "error") -> DataFrame:

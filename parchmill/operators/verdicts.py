@@ -117,6 +117,19 @@ def signed(status: Column) -> Column:
     return F.when(status.isin("fully_signed", "executed"), True).when(status.isin("awaiting_counterparty", "signature_voided", "signature_declined"), False)
 
 
+def mutuality_facet(one_way: Column, strong: Column) -> Column:
+    """one_way if any paragraph is, else mutual if any binds both, else null: weak words and roles tell nothing. Arrays of ids, in which
+    blank ones do not count."""
+    some = lambda ids: F.coalesce(F.exists(ids, lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), F.lit(False))
+    return F.when(some(one_way), "one_way").when(some(strong), "mutual")
+
+
+def origin(source: Column, has_mail: Column) -> Column:
+    """Whether a document was generated here or received; null where the source does not tell."""
+    token = F.lower(F.trim(F.coalesce(source, F.lit(""))))
+    return F.when(token.isin("generated", "send_document"), "generated").when(token.startswith("gmail") | token.isin("manual_upload", "upload", "email") | F.coalesce(has_mail, F.lit(False)), "received")
+
+
 def clause_ids(passed: Column, review: Column, check: Column) -> Column:
     return F.array_distinct(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in (passed, review, check)]))
 

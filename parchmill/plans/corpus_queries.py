@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from parchmill.functions import scalar as S
 from parchmill.functions import text as X
+from parchmill.operators import clauses as K
 from parchmill.operators import corpus as C
 from parchmill.operators import dedup, reconcile, retention, telemetry
 from parchmill.operators import verdicts as V
-from parchmill.session import read_table
+from parchmill.operators.structure import paragraphs
+from parchmill.plans.agreements import WITH, agreements
+from parchmill.session import read_table, settled
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -149,6 +152,23 @@ def a13(spark, d):
     return matters(spark, d).groupBy(V.signed(F.col("w.status")).alias("signed")).agg(F.count("*").alias("matters"))
 
 
+@query("a13_mutuality", WITH + "SELECT k AS doc_id, CASE WHEN NOT leaflet THEN CASE st WHEN 'O' THEN 'one_way' WHEN 'F' THEN 'mutual' END END AS mutuality FROM o")
+def a13_mutuality(spark, d):
+    """From the paragraphs of composed agreements that bind one party alone, and those that bind both."""
+    agreed = settled(agreements(spark, d), "agreements")
+    parts = settled(paragraphs(agreed), "paragraphs")
+    ids = lambda rule: K.paragraph_matches(parts, K.RULES[rule]).groupBy("doc_id").agg(F.collect_list("id").alias(rule))
+    both = agreed.select("doc_id").join(ids("one_way"), "doc_id", "left").join(ids("strong_mutual"), "doc_id", "left")
+    return both.select("doc_id", V.mutuality_facet(F.col("one_way"), F.col("strong_mutual")).alias("mutuality"))
+
+
+@query("a13_origin", "SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'generated' WHEN o_orderpriority = '3-MEDIUM' OR o_custkey % 3 = 0 THEN 'received' END AS origin FROM orders")
+def a13_origin(spark, d):
+    p = F.col("o_orderpriority")
+    source = F.when(p == "1-URGENT", " Generated").when(p == "2-HIGH", "send_document").when(p == "3-MEDIUM", F.when(F.col("o_orderkey") % 2 == 0, "Gmail_inbound").otherwise("EMAIL ")).when(p == "4-NOT SPECIFIED", "other")
+    return T(spark, d, "orders").select("o_orderkey", V.origin(source, F.when(F.col("o_custkey") % 3 == 0, True)).alias("origin"))
+
+
 @query("a14_clause_ids", f"SELECT doc, array_to_string(list(clause ORDER BY r, clause), ',') AS ids FROM (SELECT doc, clause, min(CASE decision WHEN 'pass' THEN 0 WHEN 'review' THEN 1 ELSE 2 END) AS r FROM {CLAUSE_SQL} GROUP BY 1, 2) GROUP BY 1")
 def a14(spark, d):
     s = V.review_state(clauses(spark, d).withColumn("clause", F.col("clause").cast("string")), "doc", "clause", "decision")
@@ -244,11 +264,17 @@ def a28(spark, d):
     return V.top_reasons(T(spark, d, "events"), "event_type", "event_id")
 
 
-@query("a29_approval_blocks", "SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'stale_playbook' ELSE '' END AS blocks, count(*) AS n FROM orders GROUP BY 1")
+BLOCK_SQL = """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 5 = 0 THEN 'engine_version_changed' END, CASE WHEN o_orderstatus = 'P' THEN 'missing_clauses' END, CASE WHEN o_custkey % 4 = 0 THEN 'missing_review_state' END, CASE WHEN o_orderkey % 7 IN (0, 1) THEN 'rule_set_changed' END], lambda x: x IS NOT NULL), ',') AS reasons,
+CASE WHEN o_orderkey % 7 IN (0, 1) THEN 'stale_playbook' ELSE '' END AS blocks FROM orders"""
+
+
+@query("a29_approval_blocks", BLOCK_SQL)
 def a29(spark, d):
     k = F.col("o_orderkey")
-    stale = V.stale_reasons(F.lit(1), F.lit(1), k % 7 == 0, F.lit(False), F.lit(True), F.lit(True))
-    return T(spark, d, "orders").groupBy(F.array_join(V.approval_blocks(stale), ",").alias("blocks")).agg(F.count("*").alias("n"))
+    engine, rules = F.when(k % 5 == 0, 1).otherwise(2), F.when(k % 7 == 0, "old").when(k % 7 != 1, "now")
+    clauses, state = F.when(F.col("o_orderstatus") != "P", True), F.when(F.col("o_custkey") % 4 != 0, True).otherwise(F.when(k % 2 == 0, False))
+    stale = V.stale_reasons(engine, F.lit(2), rules, F.lit("now"), clauses, state)
+    return T(spark, d, "orders").select("o_orderkey", F.array_join(stale, ",").alias("reasons"), F.array_join(V.approval_blocks(stale), ",").alias("blocks"))
 
 
 @query("a30_rule_set_hash", """SELECT sha256(string_agg('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}', chr(10) ORDER BY '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}')) AS etag FROM nation""")
@@ -316,10 +342,11 @@ def q12(spark, d):
     return T(spark, d, "orders").where(C.matches(spec, fields, F.lit(""))).select("o_orderkey")
 
 
-@query("q14_faceted_filter", "SELECT doc_id FROM documents WHERE lang IN ('fr', 'de') AND source IN ('src1', 'src2', 'src3') AND contains(text, '@')")
+@query("q14_faceted_filter", "SELECT doc_id FROM documents WHERE lang IN ('fr', 'en') AND source IN ('src0', 'src2', 'src3') AND (contains(text, '@') OR contains(text, '!') OR contains(text, '%'))")
 def q14(spark, d):
-    rows = T(spark, d, "documents").withColumn("marks", F.array(F.when(F.contains("text", F.lit("@")), "at")))
-    return rows.where(C.faceted({"lang": ["fr", "de"], "source": ["src1", "src2", "src3"], "marks": ["at"]}, ("marks",))).select("doc_id")
+    mark = lambda letter, name: F.when(F.contains("text", F.lit(letter)), name)
+    rows = T(spark, d, "documents").withColumn("marks", F.array_compact(F.array(mark("@", "at"), mark("!", "call"), mark("%", "share"), mark("|", "bar"))))
+    return rows.where(C.faceted({"lang": ["fr", "en"], "source": ["src0", "src2", "src3"], "marks": ["at", "call", "share"], "phase": []}, ("marks",))).select("doc_id")
 
 
 @query("q15_status_chip", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'")

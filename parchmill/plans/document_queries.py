@@ -11,8 +11,10 @@ from parchmill.operators import garble as G
 from parchmill.operators import grids as T
 from parchmill.operators import lint as N
 from parchmill.operators import redlines as R
-from parchmill.session import read_table, scratch_path
+from parchmill.operators import rulesets as W
+from parchmill.session import read_table, scratch_path, settled
 from parchmill.sources import docx as D
+from parchmill.sources.documents import read_documents
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -228,3 +230,47 @@ def s11(spark, d):
 @query("s13_mail_text")
 def s13(spark, d):
     return read_table(spark, d, "pages").select("page_id", mail_texts("html").alias("text"))
+
+
+DISPATCH_SQL = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), j AS (SELECT doc_id, string_agg(trim(x, E' \\t\\r'), chr(10) ORDER BY pos) AS text FROM l WHERE trim(x, E' \\t\\r') <> '' GROUP BY 1), k AS (SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN replace(text, chr(10), ' ') ELSE text END AS text FROM j)
+SELECT d.doc_id, CASE d.doc_id % 4 WHEN 0 THEN 'docx' WHEN 1 THEN 'text' WHEN 2 THEN 'html' END AS format, CASE WHEN d.doc_id % 4 = 3 THEN 'unsupported' WHEN k.text IS NULL THEN 'no text' ELSE 'ok' END AS status, CASE WHEN d.doc_id % 4 <> 3 THEN k.text END AS text FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id"""
+
+
+@query("s10_format_dispatch", DISPATCH_SQL)
+def s10(spark, d):
+    """Documents as files of four kinds by their ids, and read back by the ends of their names."""
+    from html import escape
+
+    @F.pandas_udf("binary")
+    def as_file(texts, kinds):
+        def one(text, kind):
+            rows = [x for x in (text or "").split("\n") if x.strip()]
+            if kind == 0:
+                return D.package("".join(f"<w:p>{D.run(x)}</w:p>" for x in rows))
+            return "".join(f"<p>{escape(x)}</p>" for x in rows).encode() if kind == 2 else "\n\n".join(rows).encode()
+
+        return texts.combine(kinds, one)
+
+    kind = F.col("doc_id") % 4
+    path = F.concat(F.lit("in/"), "doc_id", F.element_at(F.array(*map(F.lit, (".DOCX", ".txt", ".html?x=1", ".bin"))), (kind + 1).cast("int")))
+    files = settled(read_table(spark, d, "documents").select(path.alias("path"), as_file("text", kind).alias("content")), "files")
+    g = read_documents(files).groupBy("path", "format", "status").agg(F.sort_array(F.collect_list(F.struct("index", "text"))).alias("t"))  # one document's paragraphs
+    return g.select(F.regexp_extract("path", r"/(\d+)", 1).cast("long").alias("doc_id"), "format", "status", F.when(F.col("status") == "ok", F.array_join(F.transform("t", lambda x: x["text"]), "\n")).alias("text"))
+
+
+RULES_SQL = """WITH p AS (SELECT p_partkey AS k, p_size AS z, CASE p_partkey % 3 WHEN 0 THEN 'governing_law' WHEN 1 THEN 'term_and_survival' ELSE 'other' END AS clause FROM part), l AS (SELECT *, CASE k % 4 WHEN 0 THEN [] WHEN 1 THEN ['Ontario'] WHEN 2 THEN ['Delaware', 'Ontario'] ELSE ['India', 'Delaware', 'Ontario'] END AS laws FROM p),
+n AS (SELECT *, ['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve', 'thirteen', 'fourteen', 'fifteen', 'sixteen', 'seventeen', 'eighteen', 'nineteen', 'twenty'] AS words, CASE WHEN z % 26 = 0 THEN 5 ELSE z % 26 END AS years FROM l),
+t AS (SELECT *, coalesce(words[years], CAST(years AS VARCHAR)) || ' (' || years || ') year' || CASE years WHEN 1 THEN '' ELSE 's' END AS label FROM n)
+SELECT k, clause, CASE WHEN clause = 'governing_law' AND len(laws) > 0 THEN CASE WHEN z % 2 = 0 AND list_contains(laws, 'Delaware') THEN 'Delaware' ELSE laws[1] END ELSE CASE WHEN z % 2 = 0 THEN 'Delaware' END END AS preferred_law,
+CASE clause WHEN 'term_and_survival' THEN 'The NDA term and ordinary confidentiality survival must be fixed at up to ' || label || ' (' || years * 12 || ' months).' END AS requirement,
+CASE clause WHEN 'governing_law' THEN CASE len(laws) WHEN 0 THEN NULL ELSE 'This Agreement shall be governed by the laws of ' || CASE len(laws) WHEN 1 THEN 'the Province of Ontario' WHEN 2 THEN 'Delaware or the Province of Ontario' ELSE 'India, Delaware, or the Province of Ontario' END || '.' END
+WHEN 'term_and_survival' THEN 'The confidentiality obligations survive for a fixed period of up to ' || label || ', except for trade secrets or legal obligations that require a longer period.' END AS acceptable_language, CASE clause WHEN 'other' THEN 0 ELSE 2 END AS derived FROM t"""
+
+
+@query("e7_rule_normalisation", RULES_SQL)
+def e7(spark, d):
+    k, z = F.col("p_partkey"), F.col("p_size")
+    laws = F.when(k % 4 == 0, F.array(F.lit(" "))).when(k % 4 == 1, F.array(F.lit("Ontario "))).when(k % 4 == 2, F.array(F.lit("Delaware"), F.lit(""), F.lit("Ontario"))).otherwise(F.array(F.lit("India"), F.lit("Delaware"), F.lit("Ontario")))
+    clause = F.when(k % 3 == 0, "governing_law").when(k % 3 == 1, "term_and_survival").otherwise("other")
+    rows = read_table(spark, d, "part").select(k.alias("k"), clause.alias("clause"), laws.alias("approved_laws"), F.create_map(F.lit("Ontario"), F.lit("the Province of Ontario"), F.lit("India"), F.lit(" ")).alias("law_phrases"), F.when(z % 2 == 0, "Delaware").alias("preferred_law"), (z % 26).alias("max_term_years"))
+    return W.normalised(rows).select("k", "clause", "preferred_law", "requirement", "acceptable_language", F.size("derived").alias("derived"))

@@ -176,3 +176,24 @@ def f2(spark, d):
     o = read_table(spark, d, "orders")
     low = F.col("o_custkey") % 4
     return o.select("o_orderkey", S.month_key(F.col("o_orderdate")).alias("month"), F.round(F.try_divide(F.col("o_custkey") % 7, F.nullif(F.col("o_custkey") % 3, F.lit(0))), 6).alias("share"), S.one_of(F.col("o_orderpriority"), ["1-urgent", "2-high"]).alias("known"), F.array_join(S.numbers_between(low, F.least(low + 2, F.lit(5))), ",").alias("numbers"))
+
+
+LABEL_SQL = """SELECT o_orderkey, CASE o_custkey % 31 WHEN 0 THEN '0' WHEN 30 THEN 'thirty' ELSE coalesce(['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve', 'thirteen', 'fourteen', 'fifteen', 'sixteen', 'seventeen', 'eighteen', 'nineteen', 'twenty'][o_custkey % 31], CAST(o_custkey % 31 AS VARCHAR)) END || ' (' || o_custkey % 31 || ')' || CASE o_custkey % 31 WHEN 1 THEN ' year' ELSE ' years' END AS label,
+CASE o_orderkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'a or b' WHEN 2 THEN 'a, b, or c' ELSE '' END AS choice, CASE WHEN o_orderkey % 5 = 4 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE o_orderkey % 5 WHEN 1 THEN '+02:00' ELSE '+00:00' END END AS sent,
+CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS given FROM orders"""
+
+
+@query("f3_scalars", LABEL_SQL)
+def f3(spark, d):
+    k, n = F.col("o_orderkey"), F.col("o_custkey") % 31
+    items = F.slice(F.array(*map(F.lit, "abc")), 1, F.when(k % 4 == 3, 0).otherwise((k % 4 + 1).cast("int")))
+    zone = F.when(k % 5 == 1, " +0200").when(k % 5 == 2, " GMT").when(k % 5 == 3, "").otherwise(" +0000")
+    date = F.when(k % 5 == 4, F.when(k % 2 == 0, "soon").otherwise(None)).otherwise(F.concat(F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss"), zone))
+    body = F.concat(F.lit('{"k": '), F.when(k % 3 != 0, F.col("o_custkey").cast("string")).when(k % 2 == 0, "NaN").otherwise("-Infinity"), F.lit(', "t": "NaN"}'))
+    return read_table(spark, d, "orders").select("o_orderkey", S.year_label(n, digits=True).alias("label"), X.joined_with_and(items, "or").alias("choice"), S.email_time(date).alias("sent"), S.finite_json(body, "k long, t string")["k"].alias("given"))
+
+
+@query("f4_counts_by_key", "SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
+def f4(spark, d):
+    found = S.counts_by_key(read_table(spark, d, "events"), "user_id", "event_type")
+    return found.select("user_id", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts"))

@@ -51,13 +51,6 @@ def s7(spark, d):
     return docs(spark, d).groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
 
 
-@query("s10_format_dispatch", """SELECT CASE WHEN regexp_matches(split_part(split_part(url, '?', 1), '#', 1), '\\.html?$') THEN 'html' WHEN ends_with(split_part(split_part(url, '?', 1), '#', 1), '/') THEN 'folder' ELSE 'other' END AS format, count(*) AS pages FROM pages GROUP BY 1""")
-def s10(spark, d):
-    path = F.lower(F.regexp_extract("url", r"^([^?#]*)", 1))
-    kind = F.when(path.rlike(r"\.html?$"), "html").when(path.endswith("/"), "folder").otherwise("other")
-    return read_table(spark, d, "pages").groupBy(kind.alias("format")).agg(F.count("*").alias("pages"))
-
-
 @query("s14_flatten_groups", "SELECT source, doc_id FROM documents")
 def s14(spark, d):
     """Grouped payload and back: groups hold their members as an array, as the grouped listing does."""
