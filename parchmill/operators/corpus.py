@@ -178,3 +178,32 @@ def selection_hash(selected: DataFrame, owner: str, ident: str, limit: int = 200
     """A digest of the first `limit` selected ids, to hold a dry run against the real one."""
     first = selected.select(F.col(ident).cast("string").alias("i")).orderBy("i").limit(limit)
     return first.agg(F.sha2(F.concat_ws("\n", F.lit(owner), F.array_sort(F.collect_list("i"))), 256).alias("selection_hash"), F.count("*").alias("selected"))
+
+
+def by_first_appearance(rows: DataFrame, key: str, ident: str, last: str) -> DataFrame:
+    """(key, n, place): groups in the order in which they first appear, the one named `last` behind all others. Groups are counted
+    first; the order is one over groups."""
+    from pyspark.sql import Window
+
+    g = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(ident).alias("_first"))
+    return g.select(key, "n", F.row_number().over(Window.orderBy(F.col(key) == last, "_first")).cast("long").alias("place"))
+
+
+def phase_count(rows: DataFrame, phase: Column, wanted: str) -> DataFrame:
+    """One row: how many matters are in a phase."""
+    return rows.agg(F.count_if(phase == wanted).alias("matters"))
+
+
+def last_sent(rows: DataFrame, at: str, ident: str) -> DataFrame:
+    """The row that was sent last, the least id of equal ones; none if nothing was sent."""
+    return rows.where(F.col(at).isNotNull()).orderBy(F.desc(at), ident).limit(1)
+
+
+def with_status(rows: DataFrame, status: Column, wanted: str | None) -> DataFrame:
+    """What a status chip leaves; all rows without one."""
+    return rows if wanted is None else rows.where(F.coalesce(status == wanted, F.lit(False)))
+
+
+def confirmed(chosen: DataFrame, rows: DataFrame, predicate: Column, ident: str) -> DataFrame:
+    """The distinct ids that were confirmed and still fulfil the predicate."""
+    return chosen.select(ident).intersect(rows.where(predicate).select(ident))

@@ -143,11 +143,6 @@ def downgraded(decision: Column, ground: Column) -> Column:
     return F.when((decision == "fail") & (ground == "ungrounded"), "review").otherwise(decision)
 
 
-def primary_citation(evidence: Column) -> Column:
-    """The first evidence record with a quote."""
-    return F.get(F.filter(evidence, lambda e: F.coalesce(e["quote"], F.lit("")) != ""), F.lit(0))
-
-
 def stale_reasons(engine: Column, engine_now: Column, rules: Column, rules_now: Column, has_clauses: Column, has_state: Column) -> Column:
     return F.array_compact(
         F.array(
@@ -179,3 +174,19 @@ def top_reasons(rows: DataFrame, reason: str, position: str, k: int = 3) -> Data
 def rule_set_hash(rules: DataFrame, *cols: str) -> DataFrame:
     """One digest of a rule table (small by nature), whatever its order."""
     return rules.select(F.to_json(F.struct(*cols)).alias("x")).agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("x"))), 256).alias("etag"))
+
+
+def tallies(clauses: DataFrame, doc: str, decision: str) -> DataFrame:
+    """(doc, passed, failed, needs_review): a document's clauses by their decisions."""
+    of = lambda d: F.count_if(F.col(decision) == d)
+    return clauses.groupBy(doc).agg(of("pass").alias("passed"), of("fail").alias("failed"), of("review").alias("needs_review"))
+
+
+def clause_counts(clauses: DataFrame, doc: str) -> DataFrame:
+    return clauses.groupBy(doc).agg(F.count("*").alias("clauses"))
+
+
+def primary_citations(evidence: DataFrame, doc: str, quote: str, order: list[str]) -> DataFrame:
+    """(doc, quote): the first evidence by `order` that holds a quote; null if a document has none. One pass, nothing gathered."""
+    first = F.min_by(F.col(quote), F.when(F.coalesce(F.col(quote), F.lit("")) != "", F.struct(*order)))
+    return evidence.groupBy(doc).agg(first.alias("quote"))

@@ -73,8 +73,7 @@ def a2(spark, d):
 
 @query("a3_tallies", f"SELECT doc, count(*) FILTER (decision = 'pass') AS passed, count(*) FILTER (decision = 'fail') AS failed, count(*) FILTER (decision = 'review') AS needs_review FROM {CLAUSE_SQL} GROUP BY 1")
 def a3(spark, d):
-    p = clauses(spark, d).groupBy("doc").pivot("decision", ["pass", "fail", "review"]).count().na.fill(0)
-    return p.select("doc", F.col("pass").alias("passed"), F.col("fail").alias("failed"), F.col("review").alias("needs_review"))
+    return V.tallies(clauses(spark, d), "doc", "decision")
 
 
 @query("a4_human_gate", f"SELECT doc, chk + review > 0 OR total = 0 OR doc % 10 = 0 AS blocked FROM ({STATE_SQL})")
@@ -194,10 +193,7 @@ def a16(spark, d):
 
 @query("a18_first_appearance", "SELECT source, count(*) AS n, row_number() OVER (ORDER BY source = 'src0', min(doc_id)) AS place FROM documents GROUP BY 1")
 def a18(spark, d):
-    from pyspark.sql import Window
-
-    g = T(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    return g.select("source", "n", F.row_number().over(Window.orderBy(F.col("source") == "src0", "first")).cast("long").alias("place"))
+    return C.by_first_appearance(T(spark, d, "documents"), "source", "doc_id", last="src0")
 
 
 @query("a19_month_buckets", "SELECT coalesce(strftime(o_orderdate, '%Y-%m'), '0000-00') AS month, count(*) AS matters FROM orders GROUP BY 1")
@@ -241,8 +237,8 @@ def a24(spark, d):
 
 @query("a25_primary_citation", "SELECT l_orderkey AS doc, CAST(arg_min(l_comment, (l_linenumber, l_comment)) FILTER (l_quantity > 20) AS VARCHAR) AS quote FROM (SELECT l_orderkey, l_linenumber, l_partkey AS l_comment, l_quantity FROM lineitem) GROUP BY 1")
 def a25(spark, d):
-    e = T(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", F.when(F.col("l_quantity") > 20, F.col("l_partkey").cast("string")).alias("quote")))).alias("evidence"))
-    return e.select("doc", V.primary_citation(F.col("evidence"))["quote"].alias("quote"))
+    e = T(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), "l_linenumber", "l_partkey", F.when(F.col("l_quantity") > 20, F.col("l_partkey").cast("string")).alias("quote"))
+    return V.primary_citations(e, "doc", "quote", ["l_linenumber", "l_partkey"])
 
 
 @query("a26_stale_reasons", "SELECT reasons, count(*) AS n FROM (SELECT array_to_string(list_filter([CASE WHEN o_orderkey % 3 <> 1 THEN 'engine_version_changed' END, CASE WHEN o_orderkey % 5 = 0 THEN 'missing_clauses' END, CASE WHEN o_orderkey % 7 = 0 THEN 'rule_set_changed' END], lambda x: x IS NOT NULL), ',') AS reasons FROM orders) GROUP BY 1")
@@ -311,12 +307,12 @@ def q5(spark, d):
 
 @query("q6_phase_count", f"SELECT count(*) AS in_review FROM ({SQL['a7_workflow_state']}) WHERE phase = 'review'")
 def q6(spark, d):
-    return matters(spark, d).where("w.phase = 'review'").agg(F.count("*").alias("in_review"))
+    return C.phase_count(matters(spark, d), F.col("w.phase"), "review").withColumnRenamed("matters", "in_review")
 
 
 @query("q7_last_sent", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate IS NOT NULL ORDER BY o_orderdate DESC, o_orderkey LIMIT 1")
 def q7(spark, d):
-    return T(spark, d, "orders").where("o_orderdate is not null").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(1)
+    return C.last_sent(T(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey")
 
 
 @query("q8_keyword_and", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'version')")
@@ -351,7 +347,7 @@ def q14(spark, d):
 
 @query("q15_status_chip", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'")
 def q15(spark, d):
-    return T(spark, d, "orders").where(F.col("o_orderstatus") == "P").select("o_orderkey")
+    return C.with_status(T(spark, d, "orders"), F.col("o_orderstatus"), "P").select("o_orderkey")
 
 
 @query("q16_recency", "SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate END, l_commitdate) DESC, l_linenumber, l_partkey) AS place FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, l_shipdate + INTERVAL 3 DAY AS l_commitdate FROM lineitem)")
@@ -371,7 +367,7 @@ def q17(spark, d):
 
 @query("q18_clause_counts", f"SELECT doc, count(*) AS clauses FROM {CLAUSE_SQL} GROUP BY 1")
 def q18(spark, d):
-    return clauses(spark, d).groupBy("doc").agg(F.count("*").alias("clauses"))
+    return V.clause_counts(clauses(spark, d), "doc")
 
 
 @query("q19_corpus_tool", f"SELECT doc_id, source, (SELECT count(*) FROM {CORPUS_SQL} WHERE lang = 'es' AND outcome = 'clean') AS matching FROM {CORPUS_SQL} WHERE lang = 'es' AND outcome = 'clean' ORDER BY doc_id LIMIT 5")
@@ -523,7 +519,7 @@ SQL["u1_ledger_union"] = SQL["u1_ledger_union"].replace("CAST(min(value) AS BIGI
 @query("u2_intersect", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def u2(spark, d):
     o = T(spark, d, "orders")
-    return o.where("o_orderstatus = 'P'").select("o_custkey").intersect(o.where("o_orderpriority = '1-URGENT'").select("o_custkey"))
+    return C.confirmed(o.where("o_orderstatus = 'P'"), o, F.col("o_orderpriority") == "1-URGENT", "o_custkey")
 
 
 @query("u3_distinct_ordered", "SELECT conv_id, turn, array_to_string(list_filter(w, lambda t, i: list_position(w, t) = i), ' ') AS words FROM (SELECT conv_id, turn, regexp_extract_all(text, '[\\pL\\pN]+') AS w FROM conversations)")
