@@ -207,7 +207,7 @@ def e6(spark, d):
     return N.violations(clauses, conditions, options, ["governing_law", "signatures"])
 
 
-GRID_SQL = """SELECT l_orderkey AS page, 1 AS table_index, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS row_index,
+GRID_SQL = """SELECT l_orderkey AS page, 1 AS table_index, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_linestatus, CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END) AS INT) AS row_index,
   l_linenumber || '|' || l_partkey || '|' || (CASE WHEN l_linestatus = 'O' THEN 'still open' ELSE 'filled' END) || '|' || (CASE WHEN l_returnflag = 'N' THEN '' ELSE 'flag ' || l_returnflag END) AS cells FROM lineitem WHERE l_orderkey % 4 <> 1"""
 
 
