@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 TOKEN = re.compile(r"\s*(?:\d+(?:[,.]\d+)*|[^\W_]+(?:[-'’][^\W_]+)*|[^\s])|\s+")
 TOKEN_CELLS, LETTER_CELLS = 40_000, 1_000_000
 COVERAGE = 0.9
+#: A task hands on its operations once it holds so many, however many pairs of texts a batch has.
+OPERATIONS_AT_ONCE = 50_000
 
 OPERATIONS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("token", T.StringType())]))
 
@@ -46,18 +49,34 @@ def operations(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     return out + [("delete", t) for t in a] + [("insert", t) for t in b]
 
 
+def operation_lists(pairs: Iterable[tuple[str | None, str | None]], cut: Callable[[str], list[str]], most: int) -> Iterator[pa.Array]:
+    """The operations of each pair, in arrays of about OPERATIONS_AT_ONCE of them."""
+    ends, ops, tokens = [0], [], []
+
+    def held() -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(ops, pa.string()), pa.array(tokens, pa.string())], names=["op", "token"]))
+
+    for x, y in pairs:
+        a, b = cut(x or ""), cut(y or "")
+        for op, token in [("delete", x), ("insert", y)] if len(a) * len(b) > most else operations(a, b):
+            ops.append(op)
+            tokens.append(token)
+        ends.append(len(ops))
+        if len(ops) >= OPERATIONS_AT_ONCE:
+            yield held()
+            ends, ops, tokens = [0], [], []
+    if len(ends) > 1:
+        yield held()
+
+
 def inline_diff(old: Column, new: Column, letters: bool = False) -> Column:
     """The operations that turn old into new, by tokens or by letters; null is empty; too large a pair is replaced whole."""
     cut, most = (list, LETTER_CELLS) if letters else (TOKEN.findall, TOKEN_CELLS)
 
-    @F.pandas_udf(OPERATIONS)
-    def diff(olds: pd.Series, news: pd.Series) -> pd.Series:
-        rows = []
-        for x, y in zip(olds, news, strict=True):
-            a, b = cut(x or ""), cut(y or "")
-            found = [("delete", x), ("insert", y)] if len(a) * len(b) > most else operations(a, b)
-            rows.append([{"op": o, "token": t} for o, t in found])
-        return pd.Series(rows)
+    @F.arrow_udf(OPERATIONS)
+    def diff(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for olds, news in batches:
+            yield from operation_lists(((x.as_py(), y.as_py()) for x, y in zip(olds, news, strict=True)), cut, most)
 
     return diff(old, new)
 
