@@ -85,8 +85,9 @@ def near_values(values: DataFrame, group: str, value: str) -> DataFrame:
     A hash is cut into PARTS parts. Of two hashes that differ in NEAR_BITS bits, at least PARTS - NEAR_BITS parts are equal, so both
     have one of the CHOICES of so many parts in common. Each hash is sent once for each choice, under the 32 bits that it
     chooses: a million hashes of one group share such a key some hundred times in all, where a key of 13 bits is
-    shared by hundreds each. Of the choices that two hashes have in common only the first one reports them. The join goes
-    through plain exchanges, so adaptive execution splits a key that many hashes share."""
+    shared by hundreds each. Of the choices that two hashes have in common only the first one reports them. The join is told to go
+    through plain exchanges, so adaptive execution splits a key that many hashes share: Spark takes the size of the rows for that
+    of the hashes before they are sent for each choice, and would broadcast them all through the driver."""
     masks = [(k, sum(((1 << PART_BITS) - 1) << PART_BITS * p for p in parts)) for k, parts in enumerate(CHOICES)]
     signed = [(k, m - (1 << 64) if m >> 63 else m) for k, m in masks]
     rows = values.select(F.col(group).alias("g"), F.col(value).alias("v"))
@@ -94,7 +95,7 @@ def near_values(values: DataFrame, group: str, value: str) -> DataFrame:
     other = keyed.select("g", "choice", "key", F.col("v").alias("w"))
     first = F.array(*[F.lit(_first_choice(e)) for e in range(1 << PARTS)])  # 256 numbers, by rule
     x = F.col("v").bitwiseXOR(F.col("w"))
-    near = keyed.join(other, ["g", "choice", "key"]).where(F.col("v") < F.col("w")).where((F.bit_count(x) <= NEAR_BITS) & (F.get(first, _equal_parts(x)) == F.col("choice")))
+    near = keyed.join(other.hint("merge"), ["g", "choice", "key"]).where(F.col("v") < F.col("w")).where((F.bit_count(x) <= NEAR_BITS) & (F.get(first, _equal_parts(x)) == F.col("choice")))
     return near.select(F.col("g").alias("group"), F.col("v").alias("low"), F.col("w").alias("high"))
 
 
@@ -151,11 +152,12 @@ def duplicate_pairs(prints: DataFrame, doc: str, party: str, owner: str | None =
     The party `""` never matches."""
     own = _own(prints, doc, party, owner)
     first = own.groupBy("o", "exact").agg(F.min("doc").alias("a"))
-    same = own.join(first, ["o", "exact"]).where("a < doc").select("a", F.col("doc").alias("b"), F.lit(1.0).alias("similarity"))
+    same = own.join(first.hint("merge"), ["o", "exact"]).where("a < doc").select("a", F.col("doc").alias("b"), F.lit(1.0).alias("similarity"))
     classes, near = _near_classes(own)
     one, two = (classes.select("g", F.col("o").alias(f"o{k}"), F.col("p").alias(f"p{k}"), F.col("simhash").alias(f"s{k}"), F.col("exact").alias(f"e{k}"), F.col("a").alias(f"a{k}")) for k in (1, 2))
+    two = two.hint("merge")
     equal = one.join(two, (one.g == two.g) & (F.col("s1") == F.col("s2"))).where("o1 = o2 and p1 = p2 and a1 < a2 and e1 <> e2")
-    apart = near.join(one, (F.col("group") == one.g) & (F.col("low") == F.col("s1"))).drop("g").join(two, (F.col("group") == two.g) & (F.col("high") == F.col("s2"))).where("o1 = o2 and p1 = p2 and e1 <> e2 and a1 <> a2")
+    apart = near.join(one.hint("merge"), (F.col("group") == one.g) & (F.col("low") == F.col("s1"))).drop("g").join(two, (F.col("group") == two.g) & (F.col("high") == F.col("s2"))).where("o1 = o2 and p1 = p2 and e1 <> e2 and a1 <> a2")
     score = similarity(F.col("e1"), F.col("e2"), F.col("s1"), F.col("s2")).alias("similarity")
     pairs = [x.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"), score) for x in (equal, apart)]
     return same.unionByName(pairs[0]).unionByName(pairs[1]).dropDuplicates(["a", "b"])
@@ -175,20 +177,20 @@ def earliest_match(prints: DataFrame, doc: str, party: str, owner: str | None =
     another digest that of the first. What is left are pairs of near hashes, which hand over their first documents."""
     own = _own(prints, doc, party, owner)
     first = own.groupBy("o", "exact").agg(F.min("doc").alias("first"), F.max("doc").alias("_last")).where("first < _last").drop("_last")
-    second = own.join(first, ["o", "exact"]).where("doc > first").groupBy("o", "exact", "first").agg(F.min("doc").alias("second"))
-    same = own.join(second, ["o", "exact"]).select("doc", F.when(F.col("doc") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("b"), F.lit(1.0).alias("similarity"))
+    second = own.join(first.hint("merge"), ["o", "exact"]).where("doc > first").groupBy("o", "exact", "first").agg(F.min("doc").alias("second"))
+    same = own.join(second.hint("merge"), ["o", "exact"]).select("doc", F.when(F.col("doc") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("b"), F.lit(1.0).alias("similarity"))
     classes, near = _near_classes(own)
     key = ["g", "o", "p", "simhash"]
     heads = settled(classes.groupBy(*key).agg(F.min(F.struct("a", "exact")).alias("h")), "heads")
-    nexts = classes.join(heads, key).where("exact <> h.exact").groupBy(*key).agg(F.min(F.struct("a", "exact")).alias("n"))
-    within = classes.join(heads.join(nexts, key), key).select("o", "p", "exact", F.when(F.col("exact") == F.col("h.exact"), F.col("n.a")).otherwise(F.col("h.a")).alias("b"), F.lit(1.0).alias("similarity"))
+    nexts = classes.join(heads.hint("merge"), key).where("exact <> h.exact").groupBy(*key).agg(F.min(F.struct("a", "exact")).alias("n"))
+    within = classes.join(heads.join(nexts.hint("merge"), key).hint("merge"), key).select("o", "p", "exact", F.when(F.col("exact") == F.col("h.exact"), F.col("n.a")).otherwise(F.col("h.a")).alias("b"), F.lit(1.0).alias("similarity"))
     both = near.unionByName(near.select("group", F.col("high").alias("low"), F.col("low").alias("high")))
     far = heads.select("g", F.col("o").alias("o2"), F.col("p").alias("p2"), F.col("simhash").alias("s2"), F.col("h.a").alias("b"))
-    offered = both.join(far, (F.col("group") == F.col("g")) & (F.col("high") == F.col("s2"))).groupBy("group", "low", "o2", "p2").agg(F.min(F.struct("b", "s2")).alias("m"))
-    beyond = classes.join(offered, (F.col("g") == F.col("group")) & (F.col("simhash") == F.col("low")) & (F.col("o") == F.col("o2")) & (F.col("p") == F.col("p2")))
+    offered = both.join(far.hint("merge"), (F.col("group") == F.col("g")) & (F.col("high") == F.col("s2"))).groupBy("group", "low", "o2", "p2").agg(F.min(F.struct("b", "s2")).alias("m"))
+    beyond = classes.join(offered.hint("merge"), (F.col("g") == F.col("group")) & (F.col("simhash") == F.col("low")) & (F.col("o") == F.col("o2")) & (F.col("p") == F.col("p2")))
     beyond = beyond.select("o", "p", "exact", F.col("m.b").alias("b"), (1 - F.bit_count(F.col("simhash").bitwiseXOR(F.col("m.s2"))) / F.lit(64.0)).alias("similarity"))
     best = within.unionByName(beyond).groupBy("o", "p", "exact").agg(F.min(F.struct("b", "similarity")).alias("m"))
-    close = own.join(best, ["o", "p", "exact"]).select("doc", F.col("m.b").alias("b"), F.col("m.similarity").alias("similarity"))
+    close = own.join(best.hint("merge"), ["o", "p", "exact"]).select("doc", F.col("m.b").alias("b"), F.col("m.similarity").alias("similarity"))
     return same.unionByName(close).groupBy("doc").agg(F.min(F.struct("b", "similarity")).alias("m")).select("doc", F.col("m.b").alias("match"), F.round("m.similarity", 4).alias("similarity"))
 
 

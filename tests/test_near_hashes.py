@@ -100,3 +100,11 @@ def test_duplicates_against_loops(spark):
             return {frozenset(y for y in list(own) if find(y) == find(x)) for x in list(own)}
 
         assert classes(links) == classes(pair)
+
+
+def test_hashes_are_not_broadcast(spark):
+    """Each hash is sent 70 times; Spark's estimate does not see that."""
+    from parchmill.operators import dedup
+
+    rows = spark.createDataFrame([(1, k) for k in range(50)], "g long, v long")
+    assert "BroadcastExchange" not in dedup.near_values(rows, "g", "v")._jdf.queryExecution().executedPlan().toString()
