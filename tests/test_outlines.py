@@ -41,3 +41,21 @@ def test_words_lose_no_match(spark):
     got = rows.select("t", N.concepts(F.col("t")).alias("a"), plain.alias("b"), S.role(F.lit("x"), F.lit(None).cast("string"), F.lit(""), F.col("t")).alias("c"), role.alias("d")).collect()
     assert [r.t for r in got if r.a != r.b or r.c != r.d] == []
     assert {n for r in got for n in r.b} == set(N.CONCEPTS)
+
+
+def test_a_filter_on_foreign_courts_is_not_computed_twice(spark):
+    from parchmill.operators import clauses as C
+
+    rows = spark.createDataFrame(DOCUMENTS, "doc_id long, text string")
+    plan = C.law_forum_mismatch(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("arbitrat") <= 2  # the guard and the pattern
+
+
+def test_words_of_prohibited_positions(spark):
+    from parchmill.operators import clauses as C
+
+    said = ["Non-compete", "competing business", "shall not solicit", "may well solicit", "refrain from soliciting", "non circumvent", "noncircumvent", "bypass the disclosing party", "deal directly", "introduced party", "sole and exclusive", "EXCLUSIVITY provision", "hereby assigns", "assignment of intellectual property", "all title and interest in", "in perpetuity", "perpetual", "indefinitely", "never expire", "forever", "for an unlimited time", "liquidated damages", "penalties", "automatically renew", "evergreen", "may not be terminated", "none"]
+    plain = F.array_compact(F.array(*[F.when(F.col("t").rlike(f"(?i){p}"), F.lit(k)) for k, p in C.PROHIBITED]))
+    got = spark.createDataFrame([(x,) for x in said], "t string").select(C.prohibited(F.col("t")).alias("a"), plain.alias("b")).collect()
+    assert all(r.a == r.b for r in got)
+    assert {n for r in got for n in r.b} == set(C.PROHIBITED_WORDS)
