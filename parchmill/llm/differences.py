@@ -8,9 +8,12 @@ it; two near ones are in one component already. For a pair (x, y) with at least
 and x lacks at most `reach` - 1 of its own in y: the rarest `reach` tokens of each, in the group's order of frequency, hold
 one that both have. That is the prefix filter again, with the group's own rare tokens.
 
-What shares such a token meets in numpy, in blocks of at most BLOCK members; only pairs whose parity sketches allow a link
-leave a block, to be verified on whole sets. A token that more than BLOCK members of one group keep in their prefix is cut
-into pairs of blocks: exact, of bounded memory, but the work there grows with the square of that token's members.
+What shares such a token meets in numpy, in blocks of at most BLOCK members. Parity sketches turn most pairs away; the others are
+verified where they met, for the differences say how many tokens two sets do not share. What leaves a block are the stars
+of the components that its links join, fewer rows than it has members, and never its pairs. Only members with more than
+HELD common tokens of difference are left to be verified on whole sets. A token that more than BLOCK members of one group keep
+in their prefix is cut into pairs of blocks: exact, of bounded memory, but the work there grows with the square of that
+token's members.
 """
 
 from __future__ import annotations
@@ -19,15 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchmill.llm.shingles import shingle_set
+from parchmill.operators.graph import stars
 
 #: Members of one bucket that meet in one task.
 BLOCK = 1024
 #: Words of sketches that are compared at once.
 WORDS_AT_ONCE = 1 << 20
+#: Tokens of a difference that a member brings to a block (8 kB); and tokens whose holders are counted at once.
+HELD, COLUMNS = 1024, 4096
 
 
 def reach(n: int, n_lead: int, differing: int, percent: int) -> tuple[bool, int]:
@@ -75,18 +82,27 @@ def from_leaders(texts: DataFrame, size: int, percent: int) -> DataFrame:
     return texts.mapInArrow(differ, "doc long, lead long, n long, near boolean, reach int, sketch binary, tokens array<long>")
 
 
-def buckets(differences: DataFrame, labels: DataFrame) -> DataFrame:
-    """(lead, token, i, j, block, doc, n, label, sketch): who meets whom. The rarest tokens of each difference, where they are
-    shared by members of more than one component; block i of a bucket meets block j."""
+def prefixes(differences: DataFrame) -> DataFrame:
+    """(doc, lead, first, apart, tokens) of members with something to index: the rarest tokens of each difference that another
+    member has too, how many tokens it has, and all of them that another member has too, null if they are more than HELD."""
     each = differences.where("reach > 0").select("doc", "lead", "reach", F.explode("tokens").alias("token"))
     counts = each.groupBy("lead", "token").agg(F.count("*").alias("c"))
     ordered = each.join(counts, ["lead", "token"]).groupBy("doc", "lead").agg(F.min("reach").alias("reach"), F.sort_array(F.collect_list(F.struct("c", "token"))).alias("all"))
-    first = ordered.select("doc", "lead", F.explode(F.expr("slice(`all`, 1, reach)")).alias("x")).where("x.c > 1").select("doc", "lead", "x.token")
+    held = lambda x: f"transform(filter({x}, x -> x.c > 1), x -> x.token)"
+    sets = ordered.select("doc", "lead", F.expr(held("slice(`all`, 1, reach)")).alias("first"), F.size("all").cast("long").alias("apart"), F.expr(held("`all`")).alias("tokens"))
+    return sets.withColumn("tokens", F.when(F.size("tokens") <= HELD, F.col("tokens")))
+
+
+def buckets(prefixed: DataFrame, differences: DataFrame, labels: DataFrame) -> DataFrame:
+    """(lead, token, i, j, block, doc, n, label, sketch, apart, tokens): who meets whom. The rarest tokens of each difference, where
+    they are shared by members of more than one component; block i of a bucket meets block j."""
+    first = prefixed.select("doc", "lead", F.explode("first").alias("token"))
     named = first.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
     mixed = named.groupBy("lead", "token").agg(F.count("*").alias("c"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("lead", "token", F.ceil(F.col("c") / BLOCK).alias("blocks"))
     placed = named.join(mixed, ["lead", "token"]).withColumn("block", F.expr("cast(pmod(xxhash64(doc), blocks) as int)"))
     met = placed.select("lead", "token", "block", "doc", "label", F.explode(F.expr("transform(sequence(0L, blocks - 1), k -> struct(cast(least(k, block) as int) as i, cast(greatest(k, block) as int) as j))")).alias("x"))
-    return met.select("lead", "token", "x.i", "x.j", "block", "doc", "label").join(differences.select("doc", "lead", "n", "sketch"), ["doc", "lead"])
+    sets = differences.select("doc", "lead", "n", "sketch").join(prefixed.select("doc", "lead", "apart", "tokens"), ["doc", "lead"])
+    return met.select("lead", "token", "x.i", "x.j", "block", "doc", "label").join(sets, ["doc", "lead"])
 
 
 def _words(sketches: list[bytes], length: int) -> np.ndarray:
@@ -117,8 +133,33 @@ def alike(left: np.ndarray, right: np.ndarray, doc: np.ndarray, n: np.ndarray, l
     return np.concatenate(src), np.concatenate(dst)
 
 
+def linked(a: np.ndarray, b: np.ndarray, n: np.ndarray, apart: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs of rows a and b are linked. Rows are sets of n tokens that differ from one leader's in `apart`; `tokens` holds,
+    row after row, `sizes` of these tokens, among them all that two rows have in common. Their differences from each other are
+    counted for all rows at once, COLUMNS tokens at a time."""
+    used, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    place = np.full(len(n), -1)
+    place[used] = np.arange(len(used))
+    row = np.repeat(place, sizes)
+    tokens, row = tokens[row >= 0], row[row >= 0]
+    _, token, holders = np.unique(tokens, return_inverse=True, return_counts=True)
+    row, token = row[holders[token] > 1], token[holders[token] > 1]
+    _, token = np.unique(token, return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    common = np.zeros((len(used), len(used)), dtype=np.float32)  # whole numbers far below 2**24
+    for at in range(0, int(token.max(initial=-1)) + 1, COLUMNS):
+        x, y = np.searchsorted(token, [at, at + COLUMNS])
+        holds = np.zeros((len(used), COLUMNS if y < len(token) else int(token[-1]) - at + 1), dtype=np.float32)
+        holds[row[x:y], token[x:y] - at] = 1
+        common += holds @ holds.T
+    differ = apart[a] + apart[b] - 2 * common[ends[: len(a)], ends[len(a) :]].astype(np.int64)
+    return (100 + percent) * differ <= (100 - percent) * (n[a] + n[b])
+
+
 def candidates(met: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) that leave the blocks of `buckets`."""
+    """The distinct pairs (a, b, sure) that leave the blocks of `buckets`: components that a link joins, and pairs of members with
+    too long differences, which may be linked."""
     keys = ["lead", "token", "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +168,16 @@ def candidates(met: DataFrame, percent: int) -> DataFrame:
             own = rows.column("block").to_numpy()
             doc, n, label = (rows.column(k).to_numpy() for k in ("doc", "n", "label"))
             left, right = (np.flatnonzero(own == k) for k in (i, j))
-            a, b = alike(left, right, doc, n, label, rows.column("sketch").to_pylist(), percent)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            a, b = alike(left, right, np.arange(len(doc)), n, label, rows.column("sketch").to_pylist(), percent)
+            brought = rows.column("tokens").combine_chunks()
+            sure = brought.is_valid().to_numpy(zero_copy_only=False)
+            sure = sure[a] & sure[b]
+            sizes = pc.fill_null(pc.list_value_length(brought), 0).to_numpy()
+            near = linked(a[sure], b[sure], n, rows.column("apart").to_numpy(), sizes, brought.flatten().to_numpy(), percent)
+            node, root = stars(label[a[sure][near]], label[b[sure][near]])
+            joined = node != root
+            src, dst = np.concatenate([root[joined], doc[a[~sure]]]), np.concatenate([node[joined], doc[b[~sure]]])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(src, dst)), pa.array(np.maximum(src, dst)), pa.array(np.arange(len(src)) < joined.sum())], names=["a", "b", "sure"])
 
         held: list[pa.Table] = []
         for batch in batches:
@@ -148,4 +197,4 @@ def candidates(met: DataFrame, percent: int) -> DataFrame:
         if held:
             yield block(pa.concat_tables(held))
 
-    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long, sure boolean").distinct()

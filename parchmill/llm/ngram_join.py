@@ -297,9 +297,11 @@ def _in_large_buckets(named: DataFrame, links: DataFrame, own: DataFrame, rows:
     discard(pairs, *used)
     near = apart.where("near").select(F.col("doc").alias("a"), F.col("lead").alias("b"))
     labels = connected_components(links.select("a", "b").union(near), "a", "b")
-    met = settled(differences.candidates(differences.buckets(apart, labels), percent), "met")
-    found = settled(near.union(_linked(met, own, rows, size, percent)), "links")
-    discard(apart)
+    prefixed = settled(differences.prefixes(apart), "prefixes")
+    met = settled(differences.candidates(differences.buckets(prefixed, apart, labels), percent), "met")
+    sure, open_ = met.where("sure").select("a", "b"), met.where("not sure").select("a", "b")
+    found = settled(near.union(sure).union(_linked(open_, own, rows, size, percent)), "links")
+    discard(apart, prefixed, met)
     return found
 
 

@@ -15,7 +15,7 @@ from parchmill.session import discard, settled
 EDGES_PER_TASK = 1_000_000
 
 
-def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, least node of its component) of every node of these edges."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y, own = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
@@ -53,22 +53,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
             n += batch.num_rows
             if n > 2 * EDGES_PER_TASK:
-                held = [_stars(*map(np.concatenate, zip(*held, strict=True)))]
+                held = [stars(*map(np.concatenate, zip(*held, strict=True)))]
                 n = len(held[0][0])
                 if n > EDGES_PER_TASK:
                     yield star(*held.pop())
                     n = 0
         if held:
-            yield star(*_stars(*map(np.concatenate, zip(*held, strict=True))))
+            yield star(*stars(*map(np.concatenate, zip(*held, strict=True))))
 
     def star(node: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
 
-    stars = settled(pairs.coalesce(tasks).mapInArrow(contract, "a long, b long"), "cc-stars")
+    contracted = settled(pairs.coalesce(tasks).mapInArrow(contract, "a long, b long"), "cc-stars")
     discard(pairs)
     if tasks == 1:
-        return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return _rounds(stars)
+        return contracted.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return _rounds(contracted)
 
 
 def _rounds(pairs: DataFrame) -> DataFrame:

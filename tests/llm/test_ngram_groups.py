@@ -92,3 +92,26 @@ def test_blocks_leave_only_what_sketches_allow():
     got = set(zip(a.tolist(), b.tolist(), strict=True))
     linked = {(x, y) for y in range(len(sets)) for x in range(y) if label[x] != label[y] and 100 * (c := len(np.intersect1d(sets[x], sets[y]))) >= 90 * (n[x] + n[y] - c)}
     assert linked and linked <= got and all(label[x] != label[y] for x, y in got)
+
+
+def test_what_leaves_blocks_is_no_square(spark):
+    """Texts that are far from their leader and linked with each other: a block leaves fewer rows than it has members, not all pairs."""
+    lead = [f"w{k}" for k in range(200)]
+    core = lead[:140] + [f"v{k}" for k in range(60)]
+    texts = [" ".join([*core[:k], f"own{k}", *core[k + 1 :]]) for k in range(150)]
+    rows = spark.createDataFrame([(k + 1, 0, t, " ".join(lead)) for k, t in enumerate(texts)], "a long, b long, ta string, tb string")
+    apart = differences.from_leaders(rows, 5, 80).cache()
+    assert apart.where("near").isEmpty()
+    met = differences.buckets(differences.prefixes(apart), apart, spark.createDataFrame([], "node long, component long"))
+    got = differences.candidates(met, 80).collect()
+    assert all(r.sure for r in got) and {x for r in got for x in (r.a, r.b)} == set(range(1, 151))
+    assert len(got) < 10 * len(texts) < len(texts) * (len(texts) - 1) / 2 / 5
+
+
+@pytest.mark.parametrize("held", [0, 1024])
+def test_longer_differences_are_verified_on_whole_sets(spark, monkeypatch, groups, held):
+    monkeypatch.setattr(differences, "HELD", held)
+    monkeypatch.setattr(differences, "COLUMNS", 5)
+    docs = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in enumerate(groups)], SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs, 5, 80).collect()}
+    assert got == components(groups, 5, 80)
