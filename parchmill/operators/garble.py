@@ -36,17 +36,23 @@ EDGE_MARKS = ".,;:!?()[]{}'\"“”‘’/-–—"
 
 #: Lone letters, at least TOKEN_RUN of them, between blanks.
 LONE_RUN = rf"(?<!\S)\S(?!\S)(?:\s+\S(?!\S)){{{TOKEN_RUN - 1},}}"
-#: As many as make a run and no more: the JVM's matcher goes a level deeper for each letter.
-LEAST_RUN = LONE_RUN.replace(",}", "}")
+#: What parts tokens and stands at the ends of paragraphs, as the inside of a character class. Sources with a narrower notion name theirs.
+BLANKS = r"\s"
 #: A lone letter beside another one.
 LONE_PAIR = r"(?<!\S)\S(?=\s+\S(?!\S))|(?<=(?<!\S)\S\s)\S(?!\S)"
 #: Candidates are made for so many places of a run at once.
 WINDOW = 512
 
 
-def paragraphs(text: Column, separator: str = "\n\n") -> Column:
+def _least_run(blanks: str) -> str:
+    """As many lone letters as make a run and no more: the JVM's matcher goes a level deeper for each letter. It looks behind by half a
+    character where one takes two, so the blank before the run is matched."""
+    return rf"(?U)(?:^|[{blanks}])[^{blanks}](?:[{blanks}]+[^{blanks}]){{{TOKEN_RUN - 1}}}(?![^{blanks}])"
+
+
+def paragraphs(text: Column, separator: str = "\n\n", edges: str = BLANKS) -> Column:
     """The paragraphs of a text without blanks at their ends, empty ones left out."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), re.escape(separator)), lambda b: F.regexp_replace(b, r"(?U)^\s+|\s+$", "")), lambda b: b != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), re.escape(separator)), lambda b: F.regexp_replace(b, rf"(?U)^[{edges}]+|[{edges}]+\z", "")), lambda b: b != "")
 
 
 def _longest_run(flags: Column) -> Column:
@@ -54,17 +60,17 @@ def _longest_run(flags: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(F.split(F.array_join(flags, ""), "0"), lambda x: F.length(x))), F.lit(0)).cast("long")
 
 
-def short_token_run(text: Column) -> Column:
+def short_token_run(text: Column, blanks: str = BLANKS) -> Column:
     """The longest run of tokens that are one or two letters but for marks at their ends."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S+"), F.lit(0))
-    return _longest_run(F.transform(tokens, lambda t: F.when(F.btrim(t, F.lit(EDGE_MARKS)).rlike(rf"^\p{{L}}{{1,{SHORT_TOKEN_CHARS}}}$"), "1").otherwise("0")))
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?U)[^{blanks}]+"), F.lit(0))
+    return _longest_run(F.transform(tokens, lambda t: F.when(F.btrim(t, F.lit(EDGE_MARKS)).rlike(rf"^\p{{L}}{{1,{SHORT_TOKEN_CHARS}}}\z"), "1").otherwise("0")))
 
 
-def fingerprint(text: Column, separator: str = "\n\n") -> Column:
+def fingerprint(text: Column, separator: str = "\n\n", blanks: str = BLANKS, edges: str = BLANKS) -> Column:
     """Struct of paragraphs, shard_count, longest_shard_run, exploded_count, garbled."""
-    blocks = paragraphs(text, separator)
+    blocks = paragraphs(text, separator, edges)
     shards = F.transform(blocks, lambda b: F.when(F.length(b) <= SHARD_CHARS, "1").otherwise("0"))
-    exploded = F.size(F.filter(blocks, lambda b: (F.length(b) > SHARD_CHARS) & b.rlike(f"(?U){LEAST_RUN}"))).cast("long")
+    exploded = F.size(F.filter(blocks, lambda b: (F.length(b) > SHARD_CHARS) & b.rlike(_least_run(blanks)))).cast("long")
     run = _longest_run(shards)
     garbled = (exploded >= EXPLODED_ALONE) | ((exploded >= 1) & (run >= SHARD_RUN_WITH_EXPLODED)) | (run >= SHARD_RUN_ALONE)
     return F.struct(
@@ -76,9 +82,9 @@ def fingerprint(text: Column, separator: str = "\n\n") -> Column:
     )
 
 
-def assessed(docs: DataFrame, text: str = "text", separator: str = "\n\n") -> DataFrame:
-    """docs with the columns of `fingerprint` and short_run."""
-    f = docs.withColumn("_f", fingerprint(F.col(text), separator)).withColumn("short_run", short_token_run(F.col(text)))
+def assessed(docs: DataFrame, text: str = "text", separator: str = "\n\n", blanks: str = BLANKS, edges: str = BLANKS) -> DataFrame:
+    """docs with the columns of `fingerprint` and short_run. blanks part tokens, edges are taken from the ends of paragraphs."""
+    f = docs.withColumn("_f", fingerprint(F.col(text), separator, blanks, edges)).withColumn("short_run", short_token_run(F.col(text), blanks))
     return f.select("*", "_f.*").drop("_f")
 
 
