@@ -5,9 +5,11 @@ itself (numbered lists, spaced headings), so a text counts as garbled when both
 is a matter of expressions.
 
 Healing cuts the letters of a run into the likeliest words, by dynamic programming over the corpus's own word counts. The
-vocabulary is a table that grows with the corpus, so it is never broadcast: the pieces of the torn runs, each once a document,
-are joined with it, and a document gets the few words that may stand in its runs. A result that still looks garbled, or holds
-a word that no language has, is not used.
+vocabulary is a table that grows with the corpus, so it is never broadcast. What is broadcast has a fixed size: the commonest words with
+their counts, and a table of bits that tells which pieces may be words at all. Only the pieces that pass it and are not common
+leave a document, each once, for the join with the vocabulary; a piece that passes by chance finds no word there. When the vocabulary
+outgrows the bits, more pieces are sent, with equal results. A result that still looks garbled, or holds a word that no
+language has, is not used.
 
 Null texts have no paragraphs and are left alone; rows are told apart by a number of their own, so repeated ids do no harm."""
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +43,10 @@ LONE_RUN = rf"(?<!\S)\S(?!\S)(?:\s+\S(?!\S)){{{TOKEN_RUN - 1},}}"
 BLANKS = r"\s"
 #: A lone letter beside another one.
 LONE_PAIR = r"(?<!\S)\S(?=\s+\S(?!\S))|(?<=(?<!\S)\S\s)\S(?!\S)"
-#: Candidates are made for so many places of a run at once.
-WINDOW = 512
+#: The commonest words, which every task holds, and the table of bits: 2**BITS of them (16 MB), of which each word sets a few.
+COMMON = 16_384
+BITS = 27
+PROBES = (64 - BITS, 10)
 
 
 def _least_run(blanks: str) -> str:
@@ -151,14 +156,59 @@ def mended(text: str, counts: dict[str, int], total: float, separator: str = "\n
     return "".join(out) + text[at:]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _windows(texts: pd.Series, separators: pd.Series) -> pd.Series:
-    """The letters of the torn runs in overlapping windows, each with all that a word begun in it may reach."""
-    out = []
-    for text, separator in zip(texts, separators, strict=True):
-        stretches = [p.lower() for a, b in torn_runs(text, separator) for p in letters_of(text[a:b]) if p[0].isalnum() or p[0] == "_"]
-        out.append([p[k : k + WINDOW + LONGEST_WORD] for p in dict.fromkeys(stretches) for k in range(0, len(p), WINDOW)])
-    return pd.Series(out)
+def _step(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The hashes of pieces with one letter more."""
+    return h * np.uint64(0x9E3779B97F4A7C15) + codes + np.uint64(1)
+
+
+def _places(h: np.ndarray) -> list[np.ndarray]:
+    """Where hashes stand in the table of bits, an array for each probe."""
+    x = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return [x >> np.uint64(k) & np.uint64((1 << BITS) - 1) for k in PROBES]
+
+
+def _codes(letters: str) -> np.ndarray:
+    return np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _word_places(words: pd.Series) -> pd.Series:
+    """The bits that a word sets; none for words that no piece may be."""
+    words = [w if w is not None and len(w) <= LONGEST_WORD else "" for w in words]
+    n = np.array([len(w) for w in words], dtype=np.int64)
+    codes, first, h = _codes("".join(words)), np.cumsum(n) - n, np.zeros(len(n), dtype=np.uint64)
+    for k in range(n.max(initial=0)):
+        on = n > k
+        h[on] = _step(h[on], codes[first[on] + k])
+    return pd.Series([p if m else [] for p, m in zip(np.stack(_places(h), axis=1).astype(np.int64).tolist(), n, strict=True)])
+
+
+def word_bits(counts: DataFrame) -> np.ndarray:
+    """The table of bits of the words of counts, as bytes: of one size whatever the vocabulary."""
+    at = counts.select(F.explode(_word_places("word")).alias("at"))
+    masks = at.groupBy(F.shiftright("at", 6).cast("int").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask")).toPandas()
+    out = np.zeros(1 << BITS - 6, dtype="<i8")
+    out[masks["slot"].to_numpy(dtype=np.int64)] = masks["mask"].to_numpy(dtype=np.int64)
+    return out.view(np.uint8)
+
+
+def possible_words(text: str, separator: str, bits: np.ndarray) -> set[str]:
+    """The pieces of a text's torn runs that may be words by the table of bits, all that are words among them."""
+    stretches = list(dict.fromkeys(p.lower() for a, b in torn_runs(text, separator) for p in letters_of(text[a:b]) if p[0].isalnum() or p[0] == "_"))
+    letters = "".join(stretches)
+    n = np.array([len(p) for p in stretches], dtype=np.int64)
+    left = np.repeat(np.cumsum(n), n) - np.arange(len(letters))  # letters to the end of the stretch
+    codes, starts, h, out = _codes(letters), np.arange(len(letters)), np.zeros(len(letters), dtype=np.uint64), set()
+    for k in range(min(LONGEST_WORD, n.max(initial=0))):
+        on = left[starts] > k
+        starts, h = starts[on], h[on]
+        h = _step(h, codes[starts + k])
+        hit = np.ones(len(h), dtype=bool)
+        for at in _places(h):
+            hit &= bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+        out.update(letters[i : i + k + 1] for i in starts[hit].tolist())
+    return out
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -173,20 +223,29 @@ def healed(docs: DataFrame, text: str = "text", separator: str = "\n\n", protect
     Nothing is overwritten: a caller takes the healed texts or leaves them."""
     counts = settled(counts if counts is not None else word_counts(docs, text), "word-counts")
     total = float(counts.agg(F.sum("n")).first()[0] or 1)
-    rows = settled(docs.withColumn("_number", F.monotonically_increasing_id()).withColumn("_garbled", fingerprint(F.col(text), separator)["garbled"]), "garble")
+    number = docs.withColumn("_number", F.monotonically_increasing_id()).withColumn("_garbled", fingerprint(F.col(text), separator)["garbled"])
     skip = F.coalesce(protected, F.lit(False)) if protected is not None else F.lit(False)
-    torn = rows.where(F.col("_garbled") & ~skip).select("_number", F.col(text).alias("_text"))
-    windows = torn.select("_number", F.explode(_windows("_text", F.lit(separator))).alias("w"))
-    pieces = windows.select("_number", F.explode(F.expr(f"array_distinct(flatten(transform(sequence(1, least({WINDOW}, length(w))), i -> transform(sequence(1, least({LONGEST_WORD}, length(w) - i + 1)), n -> substring(w, i, n)))))")).alias("word")).distinct()
-    known = pieces.join(counts, "word").groupBy("_number").agg(F.collect_list("word").alias("_words"), F.collect_list("n").alias("_counts"))  # words of one document
+    rows = settled(number.withColumn("_torn", F.col("_garbled") & ~skip), "garble")
+    torn = rows.where("_torn")
+    common = {r.word: r.n for r in settled(counts.orderBy(F.desc("n"), "word").limit(COMMON), "common-words").collect()}
+    shared = docs.sparkSession.sparkContext.broadcast((common, word_bits(counts)))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def rare(texts: pd.Series) -> pd.Series:
+        common, bits = shared.value
+        return pd.Series([sorted(possible_words(t, separator, bits) - common.keys()) for t in texts])
 
     @F.pandas_udf("string")
     def mend(texts: pd.Series, words: pd.Series, ns: pd.Series) -> pd.Series:
-        return pd.Series([mended(t, dict(zip(w if w is not None else (), n if n is not None else (), strict=True)), total, separator) for t, w, n in zip(texts, words, ns, strict=True)])
+        common = shared.value[0]
+        return pd.Series([mended(t, common | dict(zip(w if w is not None else (), n if n is not None else (), strict=True)), total, separator) for t, w, n in zip(texts, words, ns, strict=True)])
 
-    new = torn.join(known, "_number", "left").select("_number", mend("_text", "_words", "_counts").alias("_new"), "_text")
+    pieces = torn.select("_number", F.explode(rare(text)).alias("word"))
+    known = pieces.join(counts, "word").groupBy("_number").agg(F.collect_list("word").alias("_words"), F.collect_list("n").alias("_counts"))  # words of one document
+    new = torn.join(known, "_number", "left").withColumn("_new", mend(text, "_words", "_counts")).withColumn("_text", F.col(text))
     megaword = F.col("_new").rlike(rf"[\p{{L}}\p{{N}}]{{{LONGEST_WORD + 1},}}") & ~F.col("_text").rlike(rf"[\p{{L}}\p{{N}}]{{{LONGEST_WORD + 1},}}")
     readable = (F.col("_new") != F.col("_text")) & ~fingerprint(F.col("_new"), separator)["garbled"] & ~megaword
-    new = new.select("_number", F.when(readable, F.col("_new")).alias("healed"))
-    action = F.when(~F.col("_garbled"), "not_garbled").when(skip, "excluded").when(F.col("healed").isNotNull(), "healed").otherwise("still_garbled")
-    return rows.join(new, "_number", "left").withColumn("action", action).drop("_number", "_garbled")
+    new = new.withColumn("healed", F.when(readable, F.col("_new"))).withColumn("action", F.when(F.col("healed").isNotNull(), "healed").otherwise("still_garbled"))
+    old = rows.where("not _torn").withColumn("healed", F.lit(None).cast("string")).withColumn("action", F.when(F.col("_garbled"), "excluded").otherwise("not_garbled"))
+    names = [*docs.columns, "healed", "action"]
+    return old.select(*names).unionByName(new.select(*names))
