@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -23,6 +24,9 @@ BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: For pairs: 64 bits cut into parts, and every choice of as many of them as two near hashes must have in common.
 PARTS, PART_BITS = 8, 8
 CHOICES = list(combinations(range(PARTS), PARTS - NEAR_BITS))
+#: All with all: so many blocks at least (if each has SMALL_BLOCK rows), and matrices that a core's cache holds.
+LEAST_BLOCKS, SMALL_BLOCK = 24, 2048
+TILE_ROWS, TILE_COLUMNS = 16, 8192
 
 
 @F.pandas_udf(T.LongType())
@@ -105,28 +109,44 @@ def _first_choice(equal: int) -> int:
     return CHOICES.index(parts) if len(parts) == PARTS - NEAR_BITS else -1
 
 
-def all_pairs(values: DataFrame, ident: str, value: str, most: int = NEAR_BITS, block: int = 2048) -> DataFrame:
+def block_count(rows: int, block: int) -> int:
+    """Into how many blocks rows are cut. Each row is sent once a block and once more, so there are few: the number only grows when
+    blocks would have more than `block` rows."""
+    return max(1, -(-rows // block), min(LEAST_BLOCKS, -(-rows // SMALL_BLOCK)))
+
+
+def all_pairs(values: DataFrame, ident: str, value: str, most: int = NEAR_BITS, block: int = 65_536) -> DataFrame:
     """(a, b, bits), a < b: every pair of rows with at most `most` differing bits, found by comparing all with all. It is the check
     of `near_values` and for small tables only: its work grows with the square, but not what a task holds. Rows are cut into
-    blocks, each pair of blocks is a task's matrix of differing bits, and equal blocks meet once. Null values match nothing."""
+    blocks, equal blocks meet once, and a task goes over a pair of blocks in small matrices of differing bits, handing on the pairs of
+    each. Two hashes whose numbers of ones are more than `most` apart differ in more bits than that: both blocks are ordered by
+    this number, and such stretches are passed over. Null values match nothing."""
     rows = settled(values.where(F.col(value).isNotNull()).select(F.col(ident).alias("a"), F.col(value).alias("v")).withColumn("n", F.monotonically_increasing_id()), "all-pairs")
-    n = max(1, -(-rows.count() // block))
+    n = block_count(rows.count(), block)
     dealt = rows.withColumn("k", F.pmod(F.xxhash64("n"), F.lit(n)).cast("int"))
     # Block k meets the blocks up to itself as the second one, and those from itself on as the first one.
     sides = [dealt.select(F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.col("k").alias("j"), F.lit(1).alias("side"), "a", "v"), dealt.select(F.col("k").alias("i"), F.explode(F.sequence(F.col("k"), F.lit(n - 1))).alias("j"), F.lit(0).alias("side"), "a", "v")]
     kind = dict(rows.dtypes)["a"]
 
-    def compare(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids, v = table.column("a").to_numpy(), table.column("v").to_numpy().view(np.uint64)
-        x, y = side == 0, side == 1
-        bits = np.bitwise_count(v[x][:, None] ^ v[y][None, :])
-        r, c = np.nonzero(bits <= most)
-        a, b, d = ids[x][r], ids[y][c], bits[r, c].astype(np.int32)
-        keep = a != b
-        if table.column("i")[0].as_py() == table.column("j")[0].as_py():  # within a block each pair stands on both sides
-            keep &= a < b
-        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "bits": d[keep]})
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        side, ids, v = table.column("side").to_numpy(), table.column("a").to_numpy(), table.column("v").to_numpy().view(np.uint64)
+        within = table.column("i")[0].as_py() == table.column("j")[0].as_py()  # within a block each pair stands on both sides
+        ones = np.bitwise_count(v).astype(np.int64)
+        first, second = (at[np.argsort(ones[at], kind="stable")] for at in (np.flatnonzero(side == 0), np.flatnonzero(side == 1)))
+        w, known = v[second], ones[second]
+        for k in range(0, len(first), TILE_ROWS):
+            tile = first[k : k + TILE_ROWS]
+            start, end = np.searchsorted(known, ones[tile[0]] - most, "left"), np.searchsorted(known, ones[tile[-1]] + most, "right")
+            for m in range(start, end, TILE_COLUMNS):
+                bits = np.bitwise_count(v[tile][:, None] ^ w[None, m : min(m + TILE_COLUMNS, end)])
+                if bits.min() > most:
+                    continue
+                r, c = np.nonzero(bits <= most)
+                a, b = ids[tile[r]], ids[second[m + c]]
+                keep = a < b if within else a != b
+                if keep.any():
+                    yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "bits": bits[r, c].astype(np.int32)[keep]})
 
     return sides[0].unionByName(sides[1]).groupBy("i", "j").applyInArrow(compare, f"a {kind}, b {kind}, bits int")
 
