@@ -20,6 +20,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,9 +44,10 @@ LONE_RUN = rf"(?<!\S)\S(?!\S)(?:\s+\S(?!\S)){{{TOKEN_RUN - 1},}}"
 BLANKS = r"\s"
 #: A lone letter beside another one.
 LONE_PAIR = r"(?<!\S)\S(?=\s+\S(?!\S))|(?<=(?<!\S)\S\s)\S(?!\S)"
-#: The commonest words, which every task holds, and the table of bits: 2**BITS of them (16 MB), of which each word sets a few.
+#: The commonest words, which every task holds, and the table of bits: 2**BITS of them (16 MB), of which each word sets a few. It is made
+#: in slices of 2**SLICE bits.
 COMMON = 16_384
-BITS = 27
+BITS, SLICE = 27, 18
 PROBES = (64 - BITS, 10)
 
 
@@ -185,12 +187,21 @@ def _word_places(words: pd.Series) -> pd.Series:
 
 
 def word_bits(counts: DataFrame) -> np.ndarray:
-    """The table of bits of the words of counts, as bytes: of one size whatever the vocabulary."""
+    """The table of bits of the words of counts, as bytes: of one size whatever the vocabulary. Tasks fill its slices, and the driver puts
+    these side by side."""
+    size = 1 << SLICE
+
+    def fill(table: pa.Table) -> pa.Table:
+        at = table.column("at").to_numpy()
+        on = np.zeros(size, dtype=bool)
+        on[at & size - 1] = True
+        return pa.table({"slice": pa.array([int(at[0]) >> SLICE], pa.int32()), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+
     at = counts.select(F.explode(_word_places("word")).alias("at"))
-    masks = at.groupBy(F.shiftright("at", 6).cast("int").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask")).toPandas()
-    out = np.zeros(1 << BITS - 6, dtype="<i8")
-    out[masks["slot"].to_numpy(dtype=np.int64)] = masks["mask"].to_numpy(dtype=np.int64)
-    return out.view(np.uint8)
+    out = np.zeros(1 << BITS - 3, dtype=np.uint8)
+    for r in at.groupBy(F.shiftright("at", SLICE)).applyInArrow(fill, "slice int, bits binary").collect():
+        out[r.slice << SLICE - 3 : r.slice + 1 << SLICE - 3] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out
 
 
 def possible_words(text: str, separator: str, bits: np.ndarray) -> set[str]:
