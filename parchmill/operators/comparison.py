@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# What a token is, and how large a comparison may grow.
+# What a token is, and how large a comparison on a page may grow.
 TOKEN = re.compile(r"\s*(?:\d+(?:[,.]\d+)*|[^\W_]+(?:[-'’][^\W_]+)*|[^\s])|\s+")
 TOKEN_CELLS, LETTER_CELLS = 40_000, 1_000_000
 COVERAGE = 0.9
@@ -23,34 +23,48 @@ OPERATIONS_AT_ONCE = 50_000
 OPERATIONS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("token", T.StringType())]))
 
 
-def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
-    """[i, j]: the longest common subsequence of what follows i in a and j in b. A row comes from the one below it: what it adds
-    itself only ever grows to the left, so a running maximum from the right end closes it."""
-    names = {t: k for k, t in enumerate(dict.fromkeys(a + b))}
-    x, y = (np.array([names[t] for t in s], dtype=np.int32) for s in (a, b))
-    out = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        own = np.maximum(out[i + 1, :-1], np.where(y == x[i], out[i + 1, 1:] + 1, 0))
-        out[i, :-1] = np.maximum.accumulate(own[::-1])[::-1]
-    return out
-
-
 def operations(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """Tokens of a and b in one order, each the same, deleted or inserted; of equally long ways the one that deletes first."""
+    """Tokens of a and b in one order, each the same, deleted or inserted; of equally long ways the one that deletes first.
+
+    A row of bits stands for each place i in a: counted up to the last m of b, the bits that are not set are the longest common
+    subsequence of what follows i with these m. A row comes from the one below it by one addition. Of all rows only every n-th is
+    kept, n the square root of their number, and those between are made again on the way down."""
     out: list[tuple[str, str]] = []
-    if a and b:
-        left = common_lengths(a, b)
-        i = j = 0
-        while i < len(a) and j < len(b):
-            same, drop = a[i] == b[j], left[i + 1, j] >= left[i, j + 1]
+    i = j = 0
+    where: dict[str, int] = {}
+    for k, t in enumerate(reversed(b)):
+        where[t] = where.get(t, 0) | 1 << k
+    full = (1 << len(b)) - 1
+
+    def above(row: int, token: str) -> int:
+        hit = row & where.get(token, 0)
+        return (row + hit | row - hit) & full
+
+    step, row = math.isqrt(len(a)) + 1, full
+    kept = {len(a): full}
+    for k in range(len(a) - 1, -1, -1):
+        row = above(row, a[k])
+        if k % step == 0:
+            kept[k] = row
+    common, follows = len(b) - row.bit_count(), full  # what i and j still have in common; the bits of what follows j
+    for start in range(0, len(a), step):
+        end = min(start + step, len(a))
+        rows = {end: kept.pop(end)}
+        for k in range(end - 1, start, -1):
+            rows[k] = above(rows[k + 1], a[k])
+        while i < end and j < len(b):
+            same = a[i] == b[j]
+            drop = not same and len(b) - j - (rows[i + 1] & follows).bit_count() == common
             out.append(("same", a[i]) if same else ("delete", a[i]) if drop else ("insert", b[j]))
-            i, j = i + (same or drop), j + (same or not drop)
-        a, b = a[i:], b[j:]
-    return out + [("delete", t) for t in a] + [("insert", t) for t in b]
+            common -= same
+            if not drop:
+                j, follows = j + 1, follows >> 1
+            i += same or drop
+    return out + [("delete", t) for t in a[i:]] + [("insert", t) for t in b[j:]]
 
 
-def operation_lists(pairs: Iterable[tuple[str | None, str | None]], cut: Callable[[str], list[str]], most: int) -> Iterator[pa.Array]:
-    """The operations of each pair, in arrays of about OPERATIONS_AT_ONCE of them."""
+def operation_lists(pairs: Iterable[tuple[str | None, str | None]], cut: Callable[[str], list[str]], most: int | None = None) -> Iterator[pa.Array]:
+    """The operations of each pair, in arrays of about OPERATIONS_AT_ONCE of them. most: pairs with more cells are replaced whole."""
     ends, ops, tokens = [0], [], []
 
     def held() -> pa.Array:
@@ -58,7 +72,7 @@ def operation_lists(pairs: Iterable[tuple[str | None, str | None]], cut: Callabl
 
     for x, y in pairs:
         a, b = cut(x or ""), cut(y or "")
-        for op, token in [("delete", x), ("insert", y)] if len(a) * len(b) > most else operations(a, b):
+        for op, token in [("delete", x), ("insert", y)] if most is not None and len(a) * len(b) > most else operations(a, b):
             ops.append(op)
             tokens.append(token)
         ends.append(len(ops))
@@ -69,9 +83,11 @@ def operation_lists(pairs: Iterable[tuple[str | None, str | None]], cut: Callabl
         yield held()
 
 
-def inline_diff(old: Column, new: Column, letters: bool = False) -> Column:
-    """The operations that turn old into new, by tokens or by letters; null is empty; too large a pair is replaced whole."""
+def inline_diff(old: Column, new: Column, letters: bool = False, whole: bool = False) -> Column:
+    """The operations that turn old into new, by tokens or by letters; null is empty. whole: whatever the size; else, as for what is
+    shown on a page, too large a pair is replaced whole."""
     cut, most = (list, LETTER_CELLS) if letters else (TOKEN.findall, TOKEN_CELLS)
+    most = None if whole else most
 
     @F.arrow_udf(OPERATIONS)
     def diff(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

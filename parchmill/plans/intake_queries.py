@@ -133,12 +133,12 @@ def revisions(spark, d):
 
 @query("t15_token_diff")
 def t15(spark, d):
-    return revisions(spark, d).select("conv_id", "turn", F.to_json(M.inline_diff(F.col("old"), F.col("new"))).alias("operations"))
+    return revisions(spark, d).select("conv_id", "turn", F.to_json(M.inline_diff(F.col("old"), F.col("new"), whole=True)).alias("operations"))
 
 
 @query("t16_letter_diff")
 def t16(spark, d):
-    return revisions(spark, d).select("conv_id", "turn", F.to_json(M.inline_diff(F.col("old"), F.col("new"), letters=True)).alias("operations"))
+    return revisions(spark, d).select("conv_id", "turn", F.to_json(M.inline_diff(F.col("old"), F.col("new"), letters=True, whole=True)).alias("operations"))
 
 
 @query("t19_nested_strings", "SELECT conv_id, turn, role || '|' || text || '|' || role AS strings FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL")
