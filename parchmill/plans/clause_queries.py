@@ -85,12 +85,21 @@ def t10(spark, d):
     return S.continued(parts(spark, d)).where("is_heading").select("doc_id", "index")
 
 
-@query("t13_subject_party", "SELECT c_custkey, CASE WHEN c_custkey % 6 = 4 THEN '' ELSE c_name END AS party FROM customer")
+#: Every written form of a subject with the party that it names, for a reader whose own names are Ownco and Ownco Money; {} is a customer's name.
+SUBJECTS = [
+    ("{}", "{}"), ("Fwd: {} <> Ownco", "{}"), ("Fwd: Ownco - {} - Introduction - Sponsorship", "{}"), ("Fwd: Ownco | {} Follow Up", "{}"), ("Fwd: CALL: Ownco x {}", "{}"), ("Fwd: {} Ownco", "{} Ownco"),
+    ("Fwd: {} - Ownco", "{}"), ("Fwd: Updated invitation: Ownco <> {} @ Wed May 13, 2026 7:30pm - 8:00pm", "{}"), ("Fwd: {} | Ownco Connect: Ann<>Neil", "{}"), ("Re: Fwd: Ownco x {} - follow up", "{}"), ("RE: NDA - Ownco and {}", "{}"),
+    ("Fwd: Ownco <> Ownco Money", "Ownco <> Ownco Money"), ("{} <> Ownco <> Beam Pay", "{}"), ("Owncolike{} Inc", "Owncolike{} Inc"), ("Fwd: Owncolike{} <> Ownco", "Owncolike{}"), ("Fwd: {} – Ownco", "{}"), ("Fwd: {} / Ownco", "{}"),
+    ("NDA between {} and Globe", "NDA between {} and Globe"), ("Ownco|{}", "{}"), ("vs Ownco", "vs Ownco"), ("Fwd: Ownco <>", "Ownco <>"), ("Ownco", "Ownco"), ("Fwd:", ""), ("Re: Re: Fwd:", ""), ("", ""), ("   ", ""), (None, ""),
+]
+SUBJECT_SQL = f"""SELECT c_custkey, form, coalesce(replace(named, '{{}}', c_name), '') AS party FROM customer, (VALUES {", ".join(f"(CAST({k} AS INT), '{party}')" for k, (_, party) in enumerate(SUBJECTS))}) AS forms(form, named)"""
+
+
+@query("t13_subject_party", SUBJECT_SQL)
 def t13(spark, d):
-    k, name = F.col("c_custkey") % 6, F.col("c_name")
-    ways = [F.concat(F.lit("Fwd: "), name, F.lit(" <> Ownco")), F.concat(F.lit("RE: NDA - Ownco and "), name), F.concat(F.lit("Fwd: Ownco | "), name, F.lit(" Follow Up")), name, F.lit("Fwd:"), F.concat(F.lit("Fwd: Updated invitation: Ownco <> "), name, F.lit(" @ Wed May 13, 2026 7:30pm - 8:00pm"))]
-    subject = F.element_at(F.array(*ways), (k + 1).cast("int"))
-    return read_table(spark, d, "customer").select("c_custkey", X.subject_party(subject, ["Ownco", "Ownco Money"]).alias("party"))
+    forms = F.posexplode(F.array(*[F.lit(subject).cast("string") for subject, _ in SUBJECTS])).alias("form", "subject")
+    rows = read_table(spark, d, "customer").repartition(shuffle_width(spark), "c_custkey").select("c_custkey", "c_name", forms)
+    return rows.select("c_custkey", "form", X.subject_party(F.replace("subject", F.lit("{}"), F.col("c_name")), ["Ownco", "Ownco Money"]).alias("party"))
 
 
 FRAGMENT_SQL = """WITH l AS (SELECT l_suppkey AS doc_id, l_returnflag AS flag, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS INT) AS index FROM lineitem),
